@@ -26,7 +26,7 @@ def space_words(text: str | None) -> list[bytes]:
 
 def alnum_words(text: str | None) -> list[bytes]:
     """Words of ASCII letters, digits and non-ASCII characters, A-Z in lower case."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER_ALNUM).split(b" ")
+    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER_ALNUM).split()
 
 
 class HashCache(dict):
@@ -150,19 +150,19 @@ def bloom_filter(df: DataFrame, id_col: str, bits: int = 1 << 23) -> np.ndarray:
     return out
 
 
-def bloom_has(df: DataFrame, id_col: str, words: np.ndarray, hashes: int = 3) -> DataFrame:
-    """Rows whose id may be in the filter; tells it by the same hashes, in the JVM, and looks up in Arrow batches."""
+def bloom_has(df: DataFrame, id_col: str, words: np.ndarray, hashes: int = 3, keep: bool = True) -> DataFrame:
+    """Rows whose id may be in the filter (with keep=False: those whose id can't be, or is null); tells it by the same hashes, in the JVM, and looks up in Arrow batches."""
     bits, names = len(words) * 64, df.columns
     bc = df.sparkSession.sparkContext.broadcast(words.view(np.uint64))
-    named = df.select("*", *[F.pmod(F.xxhash64(F.col(id_col), F.lit(i)), F.lit(bits)).alias(f"_h{i}") for i in range(hashes)])
+    named = df.select("*", *[F.pmod(F.xxhash64(F.col(id_col), F.lit(i)), F.lit(bits)).alias(f"_h{i}") for i in range(hashes)], F.col(id_col).isNull().alias("_null"))
 
     def run(batches):
         table = bc.value
         for b in batches:
-            keep = np.ones(b.num_rows, bool)
+            may = ~np.asarray(b.column("_null").to_numpy(zero_copy_only=False), bool)
             for i in range(hashes):
                 p = b.column(f"_h{i}").to_numpy(zero_copy_only=False).astype(np.uint64)
-                keep &= (table[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) > 0
-            yield b.filter(pa.array(keep)).select(names)
+                may &= (table[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) > 0
+            yield b.filter(pa.array(may if keep else ~may)).select(names)
 
     return named.mapInArrow(run, df.schema)
