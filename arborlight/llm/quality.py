@@ -142,7 +142,7 @@ def fit(table: DataFrame, prior: float | None = None, l2: float = 1e-4, steps: i
 
         h = _sums(table, histogram, 2 * bins)
         up_u, up_p = np.cumsum(h[:bins][::-1]) / n, np.cumsum(h[bins:][::-1]) / n_p
-        large = up_p >= 0.5
+        large = up_p >= 0.9  # smaller sets would flatter what the first score has learnt by heart
         return float(np.clip((up_u[large] / up_p[large]).min(), 0.05, 0.99))
 
     w = np.zeros(d)
