@@ -39,19 +39,23 @@ def targets(sources: DataFrame, most: int = 3) -> DataFrame:
 def _apportion(df: DataFrame, votes: Column, seats: Column, group: list[str], key: str) -> DataFrame:
     """Adds seats to each row of a group by the highest quotients votes / (2s + 1); ties to the lesser key.
 
-    The seats of a row differ from its rounded share by few: the rounded shares are seats already won at quotients
-    above the common divisor, and only the difference to the group's seats is dealt out by quotients.
+    Rounding votes by a common divisor gives the seats won by quotients above it. A few steps bring the divisor to where
+    that is nearly the group's seats, and the difference is dealt out by the next quotients, one to a row at most.
     """
     w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     df = df.withColumns({"_v": votes.cast("double"), "_n": seats.cast("long")})
-    df = df.withColumn("_share", F.col("_v") * F.col("_n") / F.nullif(F.sum("_v").over(w), F.lit(0.0)))
-    df = df.withColumn("_s", F.coalesce(F.floor(F.col("_share") + 0.5), F.lit(0)).cast("long"))
-    df = df.withColumn("_over", F.sum("_s").over(w) - F.col("_n"))
+    df = df.withColumn("_all", F.nullif(F.sum("_v").over(w), F.lit(0.0)))
+    df = df.withColumn("_rate", F.col("_n") / F.col("_all"))
+    for step in range(5):
+        df = df.withColumn("_s", F.coalesce(F.floor(F.col("_v") * F.col("_rate") + 0.5), F.lit(0)).cast("long"))
+        df = df.withColumn("_over", F.sum("_s").over(w) - F.col("_n"))
+        if step < 4:
+            df = df.withColumn("_rate", F.col("_rate") - F.col("_over") / F.col("_all"))
     gain, loss = F.col("_v") / (2 * F.col("_s") + 1), F.col("_v") / (2 * F.col("_s") - 1)
     up = F.row_number().over(w.orderBy(gain.desc(), F.col(key).asc_nulls_last()))
     down = F.row_number().over(w.orderBy(F.when(F.col("_s") > 0, loss).asc_nulls_last(), F.col(key).desc_nulls_first()))
     fixed = F.col("_s") + F.when((F.col("_over") < 0) & (up <= -F.col("_over")), 1).when((F.col("_over") > 0) & (down <= F.col("_over")), -1).otherwise(0)
-    return df.withColumn("seats", F.when(F.col("_v") > 0, F.greatest(fixed, F.lit(0))).otherwise(0).cast("long")).drop("_v", "_n", "_share", "_s", "_over")
+    return df.withColumn("seats", F.when(F.col("_v") > 0, F.greatest(fixed, F.lit(0))).otherwise(0).cast("long")).drop("_v", "_n", "_all", "_rate", "_s", "_over")
 
 
 def word_count(text: Column) -> Column:
