@@ -1,11 +1,461 @@
-"""Queries of the core library."""
+"""Queries of the core library over the driver's tables, each with its SQL.
+
+The tables hold no code, so adapters shape them as graphs, findings, texts and diffs. An adapter is SQL that Spark and
+DuckDB both read; what is computed over it is a DataFrame operator here and plain SQL in the oracle.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from arborlight.functions import scalar as S
+from arborlight.operators import edges as E
+from arborlight.operators import findings as V
+from arborlight.operators import graph as G
+from arborlight.operators import relations as R
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_O: dict[str, str] = {}
+
+
+def rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """An adapter's rows."""
+    for t in TABLES:
+        if re.search(rf"\b{t}\b", sql):
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    return spark.sql(sql)
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        name = f.__name__.removeprefix("q_")
+        _Q[name] = f
+        if oracle:
+            _O[name] = oracle
+        return f
+
+    return add
+
+
+# ---- graph adapters
+D = "cast({} as double)".format
+EDGES = f"""
+select 'n' || n_nationkey as src, 'r' || n_regionkey as dst, {D(0.8)} as conf from nation
+union all select 'c' || c_custkey, 'n' || c_nationkey, {D(0.8)} from customer
+union all select 's' || s_suppkey, 'n' || s_nationkey, {D(0.8)} from supplier
+union all select 'o' || o_orderkey, 'c' || o_custkey, {D(0.7)} from orders
+union all select 'o' || l_orderkey, 'p' || l_partkey, case when l_returnflag = 'R' then {D(0.4)} else {D(0.5)} end from lineitem
+union all select 'p' || l_partkey, 's' || l_suppkey, {D(0.5)} from lineitem
+"""
+CYCLIC = EDGES + f"union all select 'c' || o_custkey, 'o' || max(o_orderkey), {D(0.7)} from orders group by o_custkey"
+NODES = """
+select 'r' || r_regionkey as id from region union all select 'n' || n_nationkey from nation union all select 'c' || c_custkey from customer
+union all select 's' || s_suppkey from supplier union all select 'p' || p_partkey from part union all select 'o' || o_orderkey from orders
+"""
+ROOTS = "select 'o' || o_orderkey as id from orders where o_orderkey % 97 = 0"
+TEST_ROOTS = "select 'o' || o_orderkey as id from orders where o_orderkey % 89 = 1"
+_REACH = "reach_{0}(id) as (select id from ({1}) union select e.dst from reach_{0} r join ({2}) e on e.src = r.id)"
+
+
+@query(f"with recursive {_REACH.format('p', ROOTS, EDGES)} select id from reach_p")
+def q_reach_prod(spark, sf_dir):
+    return G.reach(rows(spark, sf_dir, EDGES), rows(spark, sf_dir, ROOTS))
+
+
+@query(f"with recursive {_REACH.format('c', ROOTS, CYCLIC)} select id from reach_c")
+def q_reach_cyclic(spark, sf_dir):
+    return G.reach(rows(spark, sf_dir, CYCLIC), rows(spark, sf_dir, ROOTS))
+
+
+CONDITIONAL = "select 'o' || o_orderkey as id, 'c' || o_custkey as needs from orders where o_orderkey % 5 = 0"
+PARENTS = "select 'c' || c_custkey as id, 'n' || c_nationkey as parent from customer"
+SMALL_EDGES = "select 'o' || o_orderkey as src, 'c' || o_custkey as dst from orders union all select 'o' || l_orderkey, 'p' || l_partkey from lineitem"
+
+
+@query(f"with recursive e as (select src, dst from ({SMALL_EDGES}) union select id, parent from ({PARENTS}) union select needs, id from ({CONDITIONAL})), "
+       f"r(id) as (select id from ({ROOTS}) union select e.dst from r join e on e.src = r.id) select id from r")
+def q_reach_conditional(spark, sf_dir):
+    return G.reach(rows(spark, sf_dir, SMALL_EDGES), rows(spark, sf_dir, ROOTS), rows(spark, sf_dir, PARENTS), rows(spark, sf_dir, CONDITIONAL))
+
+
+FLAGS = """
+select 'p' || p_partkey as id, p_name as name, p_brand as file, p_size as line, p_partkey as pk, p_size % 2 = 0 as private, p_size % 3 = 0 as census_zero, p_size % 5 = 0 as dynamic,
+  p_size % 7 = 0 as in_string, p_partkey % 4 = 0 as decorated, p_partkey % 6 = 0 as subclass, p_partkey % 11 = 0 as exported, p_partkey % 13 = 0 as broken from part
+"""
+_SCORE = f"""round(case when test_only then least(c, 0.85::double) else c end, 2) from (select *, greatest(0::double, least(0.99::double,
+  (0.7::double + case when private then 0.1::double else 0 end + case when census_zero then 0.15::double else 0 end) * (1::double - (
+  case when dynamic then 0.2::double else 0 end + case when in_string then 0.15::double else 0 end + case when decorated then 0.3::double else 0 end
+  + case when subclass then 0.25::double else 0 end + case when exported then 0.1::double else 0 end + case when broken then 0.1::double else 0 end)))) as c"""
+
+
+@query(f"""with recursive {_REACH.format('p', ROOTS, EDGES)}, {_REACH.format('a', ROOTS + ' union ' + TEST_ROOTS, EDGES)},
+f as (select f.*, p.id is null as test_only from ({FLAGS}) f left join reach_a a on a.id = f.id left join reach_p p on p.id = f.id where p.id is null),
+g as (select f.*, exists (select 1 from reach_a a where a.id = f.id) as used_by_tests from f),
+s as (select *, {_SCORE.split(' from (')[0].replace('test_only', 'used_by_tests')} as confidence from (select *, {_SCORE.split('select *, ')[1]} from g))
+select id, name, file, line, case when used_by_tests then 'used-only-by-tests' else 'dead-code' end as rule, confidence,
+  case when confidence >= 0.9 then 'high' when confidence >= 0.7 then 'medium' else 'low' end as level from s where confidence >= 0.3""")
+def q_dead_code(spark, sf_dir):
+    e, roots = rows(spark, sf_dir, EDGES), rows(spark, sf_dir, ROOTS)
+    prod = G.reach(e, roots).withColumn("prod", F.lit(True))
+    every = G.reach(e, roots.unionByName(rows(spark, sf_dir, TEST_ROOTS))).withColumn("any", F.lit(True))
+    s = rows(spark, sf_dir, FLAGS).join(prod, "id", "left").where("prod is null").join(every, "id", "left").withColumn("used", F.coalesce("any", F.lit(False)))
+    flags = {k: F.col(k) for k in ("private", "census_zero", "dynamic", "in_string", "decorated", "subclass", "exported", "broken")}
+    s = s.withColumn("confidence", V.dead_score(flags, F.col("used"))).where("confidence >= 0.3")
+    return s.select("id", "name", "file", "line", F.when(F.col("used"), "used-only-by-tests").otherwise("dead-code").alias("rule"), "confidence", S.level(F.col("confidence")).alias("level"))
+
+
+PR_EDGES = EDGES.replace("as conf", "as weight")
+
+
+def _pagerank_sql(rounds: int) -> str:
+    out = f"with n as ({NODES}), k as (select count(*)::double as k from n), e0 as (select * from ({PR_EDGES}) where src <> dst), t as (select src, sum(weight) as t from e0 group by src), "
+    out += "e as (select e0.src, dst, sum(weight) / min(t) as share from e0 join t on t.src = e0.src group by e0.src, dst), r0 as (select id, 1 / k as rank from n, k)"
+    for i in range(rounds):
+        out += (f", l{i} as (select coalesce(sum(rank), 0) as lost from r{i} left join t on t.src = r{i}.id where t.src is null)"
+                f", g{i} as (select dst as id, sum(rank * share) as got from r{i} join e on e.src = r{i}.id group by dst)"
+                f", r{i + 1} as (select n.id, 0.15::double / k + 0.85::double * (coalesce(got, 0) + lost / k) as rank from n left join g{i} on g{i}.id = n.id, k, l{i})")
+    return out + f" select id, round(rank, 9) as rank from r{rounds}"
+
+
+@query(_pagerank_sql(5))
+def q_pagerank_5(spark, sf_dir):
+    return G.pagerank(rows(spark, sf_dir, NODES), rows(spark, sf_dir, PR_EDGES), rounds=5, tolerance=None).select("id", F.round("rank", 9).alias("rank"))
+
+
+@query(f"""with b as (select dst as id, src as caller, max(conf) as conf from ({EDGES}) where conf >= 0.4 group by all), s as (select 's' || s_suppkey as id from supplier where s_suppkey % 40 = 1),
+l1 as (select caller as id, max(conf) as c from b join s on s.id = b.id where caller not in (select id from s) group by caller),
+l2 as (select caller as id, max(l1.c * conf) as c from b join l1 on l1.id = b.id where caller not in (select id from s union select id from l1) and l1.c * conf >= 0.1 group by caller),
+l3 as (select caller as id, max(l2.c * conf) as c from b join l2 on l2.id = b.id where caller not in (select id from s union select id from l1 union select id from l2) and l2.c * conf >= 0.1 group by caller)
+select id, 1 as distance, round(c, 6) as confidence from l1 union all select id, 2, round(c, 6) from l2 union all select id, 3, round(c, 6) from l3""")
+def q_impact_best_path(spark, sf_dir):
+    seeds = rows(spark, sf_dir, "select 's' || s_suppkey as id from supplier where s_suppkey % 40 = 1")
+    e = rows(spark, sf_dir, EDGES).where("conf >= 0.4")
+    return G.best_paths(e, seeds, 3, 0.1).select("id", "distance", F.round("confidence", 6).alias("confidence"))
+
+
+PACK = "select p_partkey as id, p_retailprice as rank, cast(ceil(length(p_name || p_type || p_brand) / 4.0) as bigint) as cost from part"
+
+
+@query(f"""with recursive o as (select *, row_number() over (order by rank desc, id) as k from ({PACK})),
+g(k, id, cost, used, taken) as (select 0::bigint, 0::bigint, 0::bigint, 0::bigint, false union all
+  select o.k, o.id, o.cost, case when g.used + o.cost <= 403 then g.used + o.cost else g.used end, g.used + o.cost <= 403 from g join o on o.k = g.k + 1)
+select id, cost, cast(row_number() over (order by k) as integer) as place from g where taken""")
+def q_pack_budget(spark, sf_dir):
+    return G.pack_budget(rows(spark, sf_dir, PACK), [F.desc("rank"), "id"], 403)
+
+
+@query(f"select dst as id, count(*) filter (where src <> dst) as inbound, count(distinct src) as callers from ({EDGES}) group by dst")
+def q_inbound(spark, sf_dir):
+    return rows(spark, sf_dir, EDGES).groupBy(F.col("dst").alias("id")).agg(F.count_if(F.col("src") != F.col("dst")).alias("inbound"), F.countDistinct("src").alias("callers"))
+
+
+# ---- edges
+SYMBOLS = "select p_partkey as sym_id, p_partkey % 97 as file_id, p_name || '/' || p_brand as name, case when p_size % 3 = 0 then 'method' else 'function' end as kind from part"
+REFS = """select l_orderkey * 10 + l_linenumber as ref_id, l_orderkey % 97 as file_id, case when l_suppkey % 4 = 0 then null else l_suppkey end as src_sym, p_name || '/' || p_brand as name,
+  l_linestatus as kind, l_linenumber as line, l_returnflag = 'R' as member from lineitem join part on p_partkey = l_partkey"""
+IMPORTS = "select s_suppkey % 97 as file_id, (s_suppkey * 7) % 97 as target_id, case when s_suppkey % 2 = 0 then p_name || '/' || p_brand end as name from supplier join part on p_partkey = s_suppkey * 3"
+
+
+@query(f"""with s as ({SYMBOLS}), r as ({REFS}), i as ({IMPORTS}), nm as (select name, count(*) as n_all, count(*) filter (where kind <> 'method') as n_plain from s group by name),
+c as (select r.*, s.sym_id as dst_sym, s.file_id = r.file_id as same, exists (select 1 from i where i.file_id = r.file_id and i.target_id = s.file_id) as imp,
+  exists (select 1 from i where i.file_id = r.file_id and i.name = r.name) as named, not member and n_plain = 0 as only_methods,
+  case when not member and n_plain > 0 then n_plain else n_all end as n
+  from r join s on s.name = r.name join nm on nm.name = r.name where member or n_plain = 0 or s.kind <> 'method'),
+w as (select *, bool_or(same) over (partition by ref_id) as any_same, bool_or(imp) over (partition by ref_id) as any_imp from c),
+t as (select *, case when any_same then 0.8::double when any_imp then case when named then 0.85::double else 0.7::double end when n = 1 then 0.5::double else 0.4::double end as base
+  from w where case when any_same then same when any_imp then imp else n <= 32 end),
+f as (select *, case when only_methods then 0.3::double when member then base - 0.1::double else base end as confidence, case when src_sym is null then file_id end as src_file, any_same or any_imp as resolved from t)
+select src_sym, src_file, dst_sym, resolved, kind, arg_min(line, ref_id) as line, round(max(confidence), 6) as confidence from f group by src_sym, src_file, dst_sym, resolved, kind""")
+def q_edge_build(spark, sf_dir):
+    out = E.build_edges(rows(spark, sf_dir, REFS), rows(spark, sf_dir, SYMBOLS), rows(spark, sf_dir, IMPORTS))
+    return out.withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"select name, count(*) as definitions, count(*) <= 32 as kept from ({SYMBOLS.replace(chr(32) + '|| ' + chr(39) + '/' + chr(39) + ' || p_brand', '')}) group by name")
+def q_ambiguity_cap(spark, sf_dir):
+    s = rows(spark, sf_dir, "select p_name as name from part")
+    return s.groupBy("name").agg(F.count(F.lit(1)).alias("definitions")).withColumn("kept", F.col("definitions") <= E.AMBIGUOUS)
+
+
+@query(f"select name, count(*) as refs, count(*) filter (where file_id <> 5) as outside from ({REFS}) group by name")
+def q_census_refs(spark, sf_dir):
+    return rows(spark, sf_dir, REFS).groupBy("name").agg(F.count(F.lit(1)).alias("refs"), F.count_if(F.col("file_id") != 5).alias("outside"))
+
+
+T0 = f"select l_orderkey as file, l_linenumber as line, l_returnflag as name, l_partkey as dst, {D(0.5)} as confidence, 't0' as source from lineitem"
+PRECISE = "select l_orderkey as file, l_linenumber as line, l_returnflag as name, l_suppkey as dst from lineitem where l_linestatus = 'F' and l_orderkey % 3 = 0"
+
+
+@query(f"with t as ({T0}), p as ({PRECISE}) select * from t where not exists (select 1 from p where p.file = t.file and p.line = t.line and p.name = t.name) "
+       f"union all select file, line, name, dst, 0.97::double, 'precise' from p")
+def q_scip_overlay(spark, sf_dir):
+    p = rows(spark, sf_dir, PRECISE)
+    return E.overlay(rows(spark, sf_dir, T0), p, p)
+
+
+SEARCH = "select p_partkey as sym_id, p_name as name, p_brand as file, p_size as line from part"
+
+
+@query(f"select sym_id, name, file, line, tier from (select *, case when name = 'small ring' then 0 when lower(name) = 'small ring' then 1 when starts_with(lower(name), 'small ring') then 2 "
+       f"when contains(lower(name), 'small ring') then 3 end as tier from ({SEARCH})) where tier is not null order by tier, file, line, sym_id limit 50")
+def q_find_symbol(spark, sf_dir):
+    return R.search(rows(spark, sf_dir, SEARCH), "small ring", 50)
+
+
+@query(f"select n2.n_name as target, coalesce(c.c_name, '<module level>') as caller, c.c_mktsegment as file, c.c_custkey as line, 0.8::double as confidence, e.src from ({EDGES}) e "
+       "join nation n2 on 'n' || n2.n_nationkey = e.dst left join customer c on 'c' || c.c_custkey = e.src where lower(n2.n_name) in ('nation_3', 'nation_7') order by 5 desc, file nulls first, line nulls first, src, target limit 500")
+def q_refs_enriched(spark, sf_dir):
+    sym = "select 'n' || n_nationkey as id, n_name as name, cast(null as string) as file from nation"
+    goal = rows(spark, sf_dir, sym)
+    callers = rows(spark, sf_dir, "select 'c' || c_custkey as src, c_name as caller, c_mktsegment as file, c_custkey as line from customer")
+    e = rows(spark, sf_dir, EDGES).join(goal.where(F.lower("name").isin("nation_3", "nation_7")).select(F.col("id").alias("dst"), F.col("name").alias("target")), "dst")
+    out = e.join(callers, "src", "left").select("target", F.coalesce("caller", F.lit("<module level>")).alias("caller"), "file", "line", F.round("conf", 2).alias("confidence"), "src")
+    return out.orderBy(F.desc("confidence"), "file", "line", "src", "target").limit(500)
+
+
+# ---- texts
+@query("with t as (select doc_id, unnest(list_distinct(regexp_extract_all(text, '[\\p{L}\\p{N}_$]+'))) as token from documents) "
+       "select doc_id, count(*) as n_tokens, min(token) as first_token from t where strlen(token) between 3 and 64 and not regexp_matches(token, '^[0-9]') group by doc_id")
+def q_text_tokens(spark, sf_dir):
+    d = rows(spark, sf_dir, "select doc_id, text from documents").select("doc_id", F.explode(S.tokens(F.col("text"))).alias("token"))
+    return d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.min("token").alias("first_token"))
+
+
+@query("select doc_id, cast(ceil(length(text) / 4.0) as bigint) as est_tokens from documents")
+def q_token_est(spark, sf_dir):
+    return rows(spark, sf_dir, "select * from documents").select("doc_id", S.est_tokens(F.col("text")).alias("est_tokens"))
+
+
+@query("select doc_id, case when length(c) > 200 then substring(c, 1, 200) || '…' else c end as clean from (select doc_id, regexp_replace(text, '\\p{Cc}', '', 'g') as c from documents)")
+def q_sanitize_200(spark, sf_dir):
+    return rows(spark, sf_dir, "select * from documents").select("doc_id", S.sanitize(F.col("text")).alias("clean"))
+
+
+@query("select doc_id, md5(regexp_replace(text, '[0-9]+', '#', 'g')) as digest from documents")
+def q_normalise_digits(spark, sf_dir):
+    return rows(spark, sf_dir, "select * from documents").select("doc_id", F.md5(S.normalise_digits(F.col("text"))).alias("digest"))
+
+
+@query("select page_id, lower(array_to_string((string_split(html, chr(10)))[1:10], chr(10))) similar to '.*(@generated|do not edit|code generated|autogenerated|auto-generated).*' as generated from pages")
+def q_generated_scan(spark, sf_dir):
+    return rows(spark, sf_dir, "select page_id, html from pages").select("page_id", S.generated(F.col("html")).alias("generated"))
+
+
+@query("with t as (select distinct page_id, unnest(regexp_extract_all(html, '[A-Za-z_][A-Za-z0-9_]+')) as name from pages) select name, count(*) as pages from t group by name")
+def q_ident_mentions(spark, sf_dir):
+    t = rows(spark, sf_dir, "select page_id, html from pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit("[A-Za-z_][A-Za-z0-9_]+"), F.lit(0)))).alias("name"))
+    return t.groupBy("name").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query("select page_id, regexp_matches(url, '^(?:.*/)?en/.*$|^.*\\.html$') as is_test from pages")
+def q_test_path_globs(spark, sf_dir):
+    return rows(spark, sf_dir, "select page_id, url from pages").select("page_id", S.matches_any(F.col("url"), ["**/en/*", "*.html"]).alias("is_test"))
+
+
+# ---- findings
+EVENTS = "select event_id as seq, event_type as category, 'rule' || (event_id % 7) as rule, 'u' || user_id as file, case when event_id % 3 = 0 then 's' || (event_id % 5) end as symbol, props as message, value, event_id % 2 = 0 as is_base, least(value / 100, 1) as confidence from events"
+_FP = "substring(sha256(category || chr(0) || rule || chr(0) || file || chr(0) || coalesce(symbol, regexp_replace(message, '[0-9]+', '#', 'g')) || chr(0)), 1, 20)"
+_E = f"e as (select *, {_FP} as fp from ({EVENTS})), cur as (select * from e where not is_base), base as (select fp, count(*) as count from e where is_base and seq % 3 <> 1 group by fp), now as (select fp, count(*) as n from cur group by fp)"
+
+
+def _events(spark, sf_dir):
+    e = rows(spark, sf_dir, EVENTS)
+    e = e.withColumn("fp", S.fingerprint(*[F.col(c) for c in ("category", "rule", "file", "symbol", "message")]))
+    return e, e.where("not is_base"), e.where("is_base and seq % 3 <> 1").groupBy("fp").agg(F.count(F.lit(1)).alias("count"))
+
+
+@query(f"with {_E} select seq, fp from e")
+def q_fingerprint(spark, sf_dir):
+    return _events(spark, sf_dir)[0].select("seq", "fp")
+
+
+@query(f"select seq, sha256(category || chr(0) || rule || chr(0) || file || chr(0) || seq || chr(0) || coalesce(symbol, '') || chr(0) || message || chr(0)) as fp from ({EVENTS})")
+def q_full_fingerprint(spark, sf_dir):
+    return rows(spark, sf_dir, EVENTS).select("seq", S.full_fingerprint(*[F.col(c) for c in ("category", "rule", "file", "seq", "symbol", "message")]).alias("fp"))
+
+
+@query(f"with {_E}, k as (select *, row_number() over (partition by fp order by seq) as nth from cur) select k.seq, k.fp from k left join base b on b.fp = k.fp where nth > coalesce(count, 0)")
+def q_baseline_new(spark, sf_dir):
+    _, cur, base = _events(spark, sf_dir)
+    return V.new_findings(cur, base).select("seq", "fp")
+
+
+@query(f"with {_E} select base.fp, count - coalesce(n, 0) as fixed from base left join now on now.fp = base.fp where count > coalesce(n, 0)")
+def q_baseline_fixed(spark, sf_dir):
+    _, cur, base = _events(spark, sf_dir)
+    return V.fixed_findings(cur, base)
+
+
+@query(f"with {_E} select * from (select coalesce(base.fp, now.fp) as fp, greatest(coalesce(n, 0), case when coalesce(base.fp, now.fp) < '8' then 0 else coalesce(count, 0) end) as count from base full join now on now.fp = base.fp) where count > 0")
+def q_baseline_retained(spark, sf_dir):
+    _, cur, base = _events(spark, sf_dir)
+    return V.retained_baseline(cur, base, F.col("fp") < "8")
+
+
+@query(f"""with {_E}, r as (select category, case when confidence >= 0.9 then 2 when confidence >= 0.7 then 1 else 0 end as l from cur),
+a as (select count(*) filter (where category = 'click' and l >= 2) as tripped, count(*) filter (where category = 'error' and l >= 1) as weakening_tripped from r)
+select *, case when weakening_tripped > 0 then 'fail' when tripped > 0 then 'fail' else 'pass' end as verdict from a""")
+def q_verdict(spark, sf_dir):
+    _, cur, _ = _events(spark, sf_dir)
+    ranked = cur.withColumn("level_rank", S.rank_of(S.level(F.col("confidence")), S.LEVELS))
+    return V.verdict(ranked, {"click": "high", "error": "medium"}, weakening="error")
+
+
+@query(f"select count(*) filter (where confidence >= 0.9) as high, count(*) filter (where confidence >= 0.7 and confidence < 0.9) as medium, count(*) filter (where confidence < 0.7) as low from ({EVENTS})")
+def q_summary_levels(spark, sf_dir):
+    return V.summary(rows(spark, sf_dir, EVENTS))
+
+
+@query(f"select seq, category, rule, confidence from ({EVENTS}) order by confidence desc, seq limit 100")
+def q_findings_topn(spark, sf_dir):
+    return V.top(rows(spark, sf_dir, EVENTS), 100).select("seq", "category", "rule", "confidence")
+
+
+DIAG = "select file, cast(floor(value) as bigint) as line, seq % 2 as col, rule, category as message, seq from ({})".format(EVENTS)
+
+
+@query(f"select file, line, col, rule, message, min(seq) as seq from ({DIAG}) group by all")
+def q_diag_dedup(spark, sf_dir):
+    d = rows(spark, sf_dir, DIAG)
+    return V.merge_reports(d.where("seq % 3 = 0"), d.where("seq % 3 <> 0"))
+
+
+@query(f"select seq, round(case when category = 'view' then 0.75 when category = 'error' then 0.98::double else 0.98::double - 0.05::double end, 2)::double as confidence from ({EVENTS})")
+def q_diag_normalise(spark, sf_dir):
+    from arborlight.sources.reports import confidence
+
+    severity = F.when(F.col("category") == "view", "info").when(F.col("category") == "error", "error").otherwise("warning")
+    return rows(spark, sf_dir, EVENTS).withColumns({"kind": F.lit("compiler"), "severity": severity}).select("seq", F.round(confidence(), 2).alias("confidence"))
+
+
+# ---- diffs
+LINES = "select 'c' || (conv_id % 40) as path, case when turn % 2 = 0 then '-' else '+' end as sign, turn as line, lower(text) as text, conv_id * 1000 + turn - turn % 2 as hunk, conv_id * 1000 + turn as pos, false as deleted from conversations"
+_RULES = ("(?:^|\\s)(the\\w*)", "\\bwith", "\\bth\\w+", "xxxx", "\\bin", "\\bof\\b")
+
+
+@query(f"""with x as (select *, regexp_matches(text, 'with') as skips, regexp_matches(text, 'th') as asserts, regexp_matches(text, 'of') as strict, regexp_matches(text, 'in') as loose from ({LINES})),
+n as (select path, count(*) filter (where sign = '-') as r, count(*) filter (where sign = '+') as a, arg_min(line, pos) filter (where sign = '-') as line from x where asserts group by path),
+w as (select *, bool_or(sign = '-' and asserts and strict) over (partition by path, hunk) as was from x)
+select path, 'added-skip' as rule, line, 0.95::double as confidence from x where sign = '+' and skips
+union all select path, 'assertions-reduced', line, case when r - a >= 3 then 0.65::double else 0.55::double end from n where r > a
+union all select path, 'assertion-loosened', line, 0.6::double from w where sign = '+' and asserts and loose and not strict and was""")
+def q_weakening(spark, sf_dir):
+    from arborlight.operators.weakening import Rules, analyze
+
+    rules = Rules("^(nothing)$", "with", "th", "nothing at all", "in", "of")
+    return analyze(rows(spark, sf_dir, LINES), rules).select("path", "rule", "line", "confidence")
+
+
+@query(f"""with x as (select *, regexp_extract(text, '^(\\w+)', 1) as name from ({LINES})) select path, line, name from x where sign = '-' and name <> '' and name not in (select name from x where sign = '+')""")
+def q_weak_deleted(spark, sf_dir):
+    from arborlight.operators.weakening import Rules, analyze
+
+    out = analyze(rows(spark, sf_dir, LINES), Rules("^([A-Za-z0-9_]+)", "nothing at all", "nothing at all", "nothing at all", "nothing at all", "nothing at all"))
+    return out.where("rule = 'deleted-test'").select("path", "line", F.col("symbol").alias("name"))
+
+
+ATTR = "select 'o' || (o_custkey % 50) as path, o_orderkey as pos, o_orderkey - o_orderkey % 6 as hunk, o_orderstatus = 'F' as flag from orders"
+
+
+@query(f"select path, pos, coalesce(max(case when flag then hunk end) over (partition by path order by pos rows between 4 preceding and 1 preceding) = hunk, false) as attr from ({ATTR})")
+def q_weak_attr_window(spark, sf_dir):
+    return R.within_previous(rows(spark, sf_dir, ATTR), "flag", 4, "attr").select("path", "pos", "attr")
+
+
+# ---- imports, manifests, intervals, snapshots
+PATHS = "select page_id as id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') as path from pages"
+MODULES = "select page_id as id, regexp_replace(regexp_replace(url, '^https?://[^/]*/', ''), '[?#].*$', '') as module from pages"
+
+
+@query(f"with f as ({PATHS}), m as ({MODULES}) select m.id, m.module, min(f.path) as resolved from m left join f on f.path = m.module or suffix(f.path, '/' || m.module) group by m.id, m.module")
+def q_import_resolve_suffix(spark, sf_dir):
+    return R.resolve_by_suffix(rows(spark, sf_dir, MODULES), rows(spark, sf_dir, PATHS))
+
+
+BASES = "select id, regexp_replace(path, '[.]html$', '') as base from ({})".format(PATHS)
+
+
+@query(f"with f as ({PATHS}), b as ({BASES}) select b.id, b.base, coalesce((select min(path) from f where path = b.base || '.html'), (select min(path) from f where path = b.base), (select min(path) from f where path = b.base || '/1')) as resolved from b")
+def q_import_candidates(spark, sf_dir):
+    return R.resolve_by_candidates(rows(spark, sf_dir, BASES), rows(spark, sf_dir, PATHS), [".html", "", "/1"])
+
+
+DEP_IMPORTS = "select distinct (l_orderkey * 100000 + l_partkey * 10 + l_linenumber) * 5 + l_suppkey % 5 as id, 'r' || (l_suppkey % 5) || '/d' || (l_partkey % 7) || '/f' as file, 'eco' || (l_linenumber % 2) as eco, 'Pkg_' || (l_partkey % 60) as package from lineitem"
+DEPS = "select 'eco' || (p_partkey % 2) as eco, case when p_partkey % 3 = 0 then '' when p_partkey % 3 = 1 then 'r' || (p_size % 5) else 'r' || (p_size % 5) || '/d' || (p_partkey % 7) end as dir, 'pkg-' || (p_partkey % 90) as name, case when p_size % 2 = 0 then 'dev' else 'main' end as section from part where p_partkey <= 60"
+_DECL = f"""i as ({DEP_IMPORTS}), d as ({DEPS}), j as (select i.*, bool_and(d.section = 'dev') as dev from i left join d on d.eco = i.eco and replace(replace(lower(i.package), '_', '-'), '.', '-') = d.name
+  and (d.dir = '' or starts_with(i.file, d.dir || '/')) group by i.id, i.file, i.eco, i.package), q as (select id, file, eco, package, dev is not null as declared, coalesce(dev, false) as dev_only from j)"""
+
+
+@query(f"with {_DECL} select * from q")
+def q_deps_declared(spark, sf_dir):
+    return R.declared_imports(rows(spark, sf_dir, DEP_IMPORTS), rows(spark, sf_dir, DEPS))
+
+
+REGISTRY = "select distinct 'eco' || (p_partkey % 2) as eco, 'Pkg_' || (p_partkey % 60) as package, (p_partkey % 60) % 3 <> 0 as exists from part where p_partkey % 60 < 45"
+
+
+@query(f"""with {_DECL}, g as ({REGISTRY.replace(' as exists', ' as there')}), x as (select q.*, g.there, file like 'r1/%' as is_test, id % 5 = 0 as optional from q left join g on g.eco = q.eco and g.package = q.package),
+r as (select *, case when not declared and not there then 'nonexistent-package' when not declared then 'undeclared-dependency' when dev_only and not is_test then 'dev-dependency-in-source' end as rule from x)
+select id, rule, case when rule = 'dev-dependency-in-source' then 0.5::double else least(case when rule = 'nonexistent-package' then 0.9::double when there then 0.8::double else 0.55::double end, case when optional then 0.35::double else 1 end) end as confidence
+from r where rule is not null""")
+def q_deps_registry(spark, sf_dir):
+    i = R.declared_imports(rows(spark, sf_dir, DEP_IMPORTS), rows(spark, sf_dir, DEPS))
+    i = i.withColumns({"is_test": F.col("file").like("r1/%"), "optional": F.col("id") % 5 == 0, "has_manifest": F.lit(True)})
+    return R.dependency_findings(i, rows(spark, sf_dir, REGISTRY.replace("as exists", "as `exists`")))
+
+
+POINTS = "select distinct l_suppkey as k, (l_orderkey * 10 + l_linenumber) * 1000 + cast(l_quantity as bigint) as point_id, cast(l_quantity * 20 as bigint) as at from lineitem"
+SPANS = "select p_partkey % 100 + 1 as k, p_partkey as span_id, p_size * 17 as lo, p_size * 17 + p_partkey % 300 as hi from part"
+
+
+@query(f"select p.k, p.point_id, p.at, (select s.span_id from ({SPANS}) s where s.k = p.k and p.at between s.lo and s.hi order by s.lo desc, s.hi, s.span_id desc limit 1) as span_id from ({POINTS}) p")
+def q_interval_innermost(spark, sf_dir):
+    return R.innermost(rows(spark, sf_dir, POINTS), rows(spark, sf_dir, SPANS), "k")
+
+
+RANGES = "select o_custkey % 100 + 1 as k, o_orderkey as range_id, o_orderkey % 900 as lo, o_orderkey % 900 + o_orderkey % 50 as hi from orders"
+
+
+@query(f"select r.k, range_id, span_id from ({RANGES}) r join ({SPANS}) s on s.k = r.k and r.lo <= s.hi and r.hi >= s.lo")
+def q_interval_overlap(spark, sf_dir):
+    return R.overlapping(rows(spark, sf_dir, RANGES), rows(spark, sf_dir, SPANS).withColumnsRenamed({"lo": "start", "hi": "end"}), "k")
+
+
+SEEDS = "select c_nationkey as file, c_custkey as id, case when c_custkey % 3 = 0 then c_custkey - 25 end as parent from customer where c_custkey % 4 <> 1"
+
+
+@query(f"with s as ({SEEDS}) select * from s where not exists (select 1 from s c where c.file = s.file and c.parent = s.id)")
+def q_impact_seeds(spark, sf_dir):
+    return R.without_containers(rows(spark, sf_dir, SEEDS))
+
+
+BEFORE = "select 'd' || doc_id as path, md5(text) as hash from documents where doc_id % 10 <> 3"
+AFTER = "select 'd' || doc_id as path, md5(case when doc_id % 7 = 0 then text || '.' else text end) as hash from documents where doc_id % 10 <> 4"
+
+
+@query(f"with b as ({BEFORE}), a as ({AFTER}) select coalesce(a.path, b.path) as path, case when b.path is null then 'added' when a.path is null then 'removed' else 'modified' end as change from b full join a on a.path = b.path where a.hash is distinct from b.hash")
+def q_changed_files(spark, sf_dir):
+    return R.changed(rows(spark, sf_dir, BEFORE), rows(spark, sf_dir, AFTER))
+
+
+@query("select lang, count(*) as files, cast(sum(n_chars) as bigint) as size from documents group by lang")
+def q_files_per_language(spark, sf_dir):
+    return rows(spark, sf_dir, "select * from documents").groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("size"))
+
+
+@query("select doc_id, sha256('9' || lang || text) as hash from documents")
+def q_content_hash(spark, sf_dir):
+    return rows(spark, sf_dir, "select * from documents").select("doc_id", F.sha2(F.concat(F.lit("9"), "lang", "text"), 256).alias("hash"))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_O)
