@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from arborlight.llm.common import Union, arrow_out, grouped_arrow
 from arborlight.plans.components import connected_components, splittable
@@ -103,6 +104,8 @@ def embedding_duplicates(
     limit = 2 - 2 * cosine + 1e-9
     label = F.col(label_col).cast("string") if label_col else F.lit("")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vec_col).alias("vec"))
+    # single-precision input is sent as it is and widened where it is compared: the same numbers at half the size
+    wire = np.float32 if rows.schema["vec"].dataType.elementType == FloatType() else np.float64
     bad = F.expr("vec is null or label is null or size(vec) = 0 or exists(vec, x -> x is null or isnan(x) or abs(x) = double('Infinity')) or forall(vec, x -> x = 0)")
     rows = rows.withColumn("cls", F.when(~bad, F.sha2(F.concat_ws(":", F.length("label"), "label", F.col("vec").cast("string")), 256)))
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.any_value("label").alias("label"), F.any_value("vec").alias("vec"))
@@ -125,7 +128,7 @@ def embedding_duplicates(
                         part = [members[i] for i in idx[s : s + 20_000]]
                         yield arrow_out(cell_schema, {
                             "label": [lab[i] for i in part], "dim": [dim] * len(part), "block": [b] * len(part), "cell": cells[s : s + 20_000],
-                            "home": home[s : s + 20_000], "cls": [cls[i] for i in part], "n": [n[i] for i in part], "v": [vecs[i].tobytes() for i in part]})
+                            "home": home[s : s + 20_000], "cls": [cls[i] for i in part], "n": [n[i] for i in part], "v": [vecs[i].astype(wire).tobytes() for i in part]})
 
     dealt = classes.select("label", "cls", "n", "vec").mapInArrow(deal, "label string, dim int, block int, cell long, home boolean, cls string, n long, v binary")
     keys = ["label", "dim", "block", "cell"]
@@ -140,7 +143,7 @@ def embedding_duplicates(
         for t in groups:
             if t.num_rows < 2:
                 continue
-            x = np.stack([np.frombuffer(v.as_buffer(), np.float64) for v in t.column("v")])
+            x = np.stack([np.frombuffer(v.as_buffer(), wire) for v in t.column("v")]).astype(np.float64)
             cls, n = t.column("cls").to_pylist(), t.column("n").to_numpy()
             home, c = t.column("home").to_numpy(), t.column("c").to_numpy()
             unit = x / np.abs(x).max(axis=1, keepdims=True)
