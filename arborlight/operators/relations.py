@@ -101,3 +101,8 @@ def within_previous(lines: DataFrame, flag: str, n: int, out: str) -> DataFrame:
     """lines(path, hunk, pos, ...): whether the flag stands on one of the n lines before, in the same hunk."""
     w = Window.partitionBy("path").orderBy("pos").rowsBetween(-n, -1)
     return lines.withColumn(out, F.coalesce(F.max(F.when(F.col(flag), F.col("hunk"))).over(w) == F.col("hunk"), F.lit(False)))
+
+
+def merged_imports(imports: DataFrame) -> DataFrame:
+    """imports(stmt, module, name): one row for each statement and module, with its distinct names in order; null names add none."""
+    return imports.groupBy("stmt", "module").agg(F.array_sort(F.collect_set("name")).alias("names"))

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from arborlight.functions import paths as P
 from arborlight.functions import scalar as S
 from arborlight.operators import edges as E
 from arborlight.operators import findings as V
@@ -257,6 +258,52 @@ def q_test_path_globs(spark, sf_dir):
     return rows(spark, sf_dir, "select page_id, url from pages").select("page_id", S.matches_any(F.col("url"), ["**/en/*", "*.html"]).alias("is_test"))
 
 
+# ---- paths and names
+NAMED_FILES = """select p_partkey as id, 'src/' || p_brand || '/f' || p_partkey || case p_partkey % 14 when 0 then '.cs' when 1 then '.go' when 2 then '.JSX' when 3 then '.pyi'
+  when 4 then '.rs' when 5 then '.tsx' when 6 then '.mts' when 7 then '.min.js' when 8 then '.htm' when 9 then '.YAML' when 10 then '.lock' when 11 then '.toml' when 12 then '.java' else '' end as path from part"""
+_ENDS = " ".join("when " + " or ".join(f"ends_with(lower(path), '{e}')" for e in ends) + f" then '{name}'" for name, ends in P.LANGUAGES.items())
+
+
+@query(f"select id, case {_ENDS} end as lang, case when regexp_matches(lower(path), '\\.(html|htm)$') then 'html' when regexp_matches(lower(path), '\\.(json|toml|yaml|yml|cfg|ini)$') then 'text' end as kind from ({NAMED_FILES})")
+def q_path_dispatch(spark, sf_dir):
+    return rows(spark, sf_dir, NAMED_FILES).select("id", P.language_of(F.col("path")).alias("lang"), P.text_kind(F.col("path")).alias("kind"))
+
+
+RELATIVE = """select p_partkey as id, p_brand || '/k' as base, case p_partkey % 5 when 0 then '../m' when 1 then './m/n' when 2 then '../../../m' when 3 then 'q/../m' else '..//../m' end as rel, p_partkey % 5 as c, p_brand as b from part"""
+
+
+@query(f"select id, case c when 0 then b || '/m' when 1 then base || '/m/n' when 2 then null when 3 then base || '/m' else 'm' end as joined from ({RELATIVE})")
+def q_joined_paths(spark, sf_dir):
+    return rows(spark, sf_dir, RELATIVE).select("id", P.joined_path(F.col("base"), F.col("rel")).alias("joined"))
+
+
+PACKAGES = """select p_partkey as id, case p_partkey % 4 when 0 then 'pypi' when 1 then 'crates.io' when 2 then 'npm' else 'other' end as eco,
+  case p_size % 5 when 0 then lower(p_brand) when 1 then replace(p_brand, '#', '_') when 2 then '@' || p_size || '/x.y' when 3 then '_' || p_size else '' end as name from part"""
+
+
+@query(f"""select id, case eco when 'pypi' then regexp_matches(name, '^[A-Za-z0-9][A-Za-z0-9._-]*$') and length(name) <= 100 when 'crates.io' then regexp_matches(name, '^[A-Za-z][A-Za-z0-9_-]*$') and length(name) <= 64
+  when 'npm' then regexp_matches(name, '^(@[A-Za-z0-9~-][A-Za-z0-9._~-]*/)?[A-Za-z0-9~-][A-Za-z0-9._~-]*$') and length(name) <= 214 else false end as valid from ({PACKAGES})""")
+def q_package_names(spark, sf_dir):
+    return rows(spark, sf_dir, PACKAGES).select("id", P.valid_package(F.col("eco"), F.col("name")).alias("valid"))
+
+
+@query("select o_custkey as stmt, o_orderpriority as module, array_to_string(list_sort(list_distinct(list(o_orderstatus))), ',') as names from orders group by o_custkey, o_orderpriority")
+def q_imports_merged(spark, sf_dir):
+    return R.merged_imports(rows(spark, sf_dir, "select o_custkey as stmt, o_orderpriority as module, o_orderstatus as name from orders")).withColumn("names", F.array_join("names", ","))
+
+
+@query("select user_id, event_type, count(*) as runs, bool_and(value > 5) as caught from events group by user_id, event_type")
+def q_caught_in_every_run(spark, sf_dir):
+    e = rows(spark, sf_dir, "select user_id, event_type, value > 5 as ok from events")
+    return e.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("runs"), F.bool_and("ok").alias("caught"))
+
+
+@query("select distinct p_name as name from part where p_size % 2 = 0 and p_name not in (select p_name from part where p_size % 2 = 1)")
+def q_deleted_names(spark, sf_dir):
+    before, after = (rows(spark, sf_dir, f"select p_name as name from part where p_size % 2 = {k}") for k in (0, 1))
+    return before.join(after, "name", "left_anti").distinct()
+
+
 # ---- findings
 EVENTS = "select event_id as seq, event_type as category, 'rule' || (event_id % 7) as rule, 'u' || user_id as file, case when event_id % 3 = 0 then 's' || (event_id % 5) end as symbol, props as message, value, event_id % 2 = 0 as is_base, least(value / 100, 1) as confidence from events"
 _FP = "substring(sha256(category || chr(0) || rule || chr(0) || file || chr(0) || coalesce(symbol, regexp_replace(message, '[0-9]+', '#', 'g')) || chr(0)), 1, 20)"
