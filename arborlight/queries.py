@@ -298,9 +298,9 @@ def q_caught_in_every_run(spark, sf_dir):
     return e.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("runs"), F.bool_and("ok").alias("caught"))
 
 
-@query("select distinct p_name as name from part where p_size % 2 = 0 and p_name not in (select p_name from part where p_size % 2 = 1)")
+@query("select distinct p_name || p_type as name from part where p_size % 2 = 0 and p_name || p_type not in (select p_name || p_type from part where p_size % 2 = 1)")
 def q_deleted_names(spark, sf_dir):
-    before, after = (rows(spark, sf_dir, f"select p_name as name from part where p_size % 2 = {k}") for k in (0, 1))
+    before, after = (rows(spark, sf_dir, f"select p_name || p_type as name from part where p_size % 2 = {k}") for k in (0, 1))
     return before.join(after, "name", "left_anti").distinct()
 
 
