@@ -65,7 +65,7 @@ def word_count(text: Column) -> Column:
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 3, seed: int = 17,
-    shard_rows: int = 4096, block_words: int = 1024, weights: tuple[int, ...] = (1, 2, 3),
+    shard_rows: int = 4096, block_words: int = 1024, weights: tuple[int, ...] = (1, 2, 3), row_col: str | None = None,
 ) -> DataFrame:
     """One row per input row: id, source, size, source_size, target, taken (words taken, repeats counted), passes, first, length and
     wrapped: whole passes; then length words from the word first (from 0) on, and the wrapped first words, once more.
@@ -73,11 +73,12 @@ def mix(
     Sources in code point order, null last, have the weights in turn. Null and empty texts have size 0 and nothing is
     taken of them. Repeated rows are documents of their own that share their place in the seeded order. Blocks have
     ``block_words`` words, or fewer, so that the smallest target still has 100. An empty table gives an empty result; other
-    columns are not read. The result depends on ids and sizes alone.
+    columns are not read. The result depends on ids and sizes alone. ``row_col``, which tells all rows apart, is carried through and
+    breaks ties of the order, so that callers can join the plan back where ids are null or repeated.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    sized = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    sized = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *([F.col(row_col).alias("_row")] if row_col else []))
     sized = scratch.save(sized)
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
@@ -98,7 +99,7 @@ def mix(
         F.when(F.col("shard_size") > 0, F.least(F.col("seats"), most * blocks)).otherwise(0).alias("quota"), F.greatest(blocks, F.lit(1)).alias("blocks"),
     )
     rows = rows.withColumn("_j", F.concat("key", F.lit("/"), F.col("shard").cast("string"))).join(shards, F.col("_j") == F.col("_k"))
-    order = Window.partitionBy("_j").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id", "size")
+    order = Window.partitionBy("_j").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id", "size", *(["_row"] if row_col else []))
     end = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("lo", end - F.col("size"))
     passes, rest = F.expr("quota div blocks"), F.col("quota") % F.col("blocks")
@@ -114,4 +115,5 @@ def mix(
     return rows.select(
         F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("_main") + F.col("_round")).cast("long").alias("taken"),
         F.col("passes").alias("passes"), first.cast("long").alias("first"), F.col("_main").cast("long").alias("length"), F.col("_round").cast("long").alias("wrapped"),
+        *([F.col("_row").alias(row_col)] if row_col else []),
     )

@@ -49,10 +49,13 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it whole, and once more with the words of the rest."""
+    """Each row as often as the mix takes it whole, and once more with the words of the rest; rows with a null or a repeated id are
+    documents of their own. Rows without words, and those that the mix takes nothing of, go."""
     names = docs.columns
-    plan = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "passes", "first", F.col("length").alias("_length"), "wrapped").distinct()
-    rows = docs.withColumn("_n", mixing.word_count(F.col("text"))).join(plan, (F.col("doc_id") == F.col("_id")) & (F.col("_n") == F.col("_size")))
+    # ids may be null or repeated, so the plan is joined back by a key of the written row; equal ids are told apart by their texts first
+    docs = Scratch(spark, "pipeline-mix").save(docs.withColumn("_row", F.struct(F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("n"))))
+    plan = mixing.mix(docs, row_col="_row").where("taken > 0").select(F.col("_row").alias("_key"), F.col("size").alias("_size"), "passes", "first", F.col("length").alias("_length"), "wrapped")
+    rows = docs.join(plan, F.col("_row") == F.col("_key"))
     words = F.regexp_extract_all("text", F.lit(SPACE_WORD), F.lit(0))
     part = F.array_join(F.concat(F.slice(words, F.col("first").cast("int") + 1, F.col("_length").cast("int")), F.slice(words, F.lit(1), F.col("wrapped").cast("int"))), " ")
     rest = F.col("_length") + F.col("wrapped")

@@ -1,6 +1,9 @@
 """The pipeline over awkward rows."""
 
+from collections import Counter
+
 import corpus_pipeline
+from arborlight.llm import mixing
 from arborlight.llm.queries import queries
 
 
@@ -26,3 +29,25 @@ def test_stages(spark, docs, none, tmp_path):
 
 def test_every_operator_has_its_query():
     assert [q.split("_")[0] for q in queries()] == [f"op{n}" for n in range(1, 11)]
+
+
+def test_mixture_takes_each_row_as_often_as_planned(spark):
+    text = lambda tag, n: " ".join(f"{tag}x{k}" for k in range(n))
+    rows = [(None, text("a", 120), "en", "s0", 1), (None, text("b", 120), "en", "s0", 1), (None, text("c", 50), "en", None, 1)]
+    rows += [(7, text(f"r{k}", 90), "en", f"s{k % 2}", 1) for k in range(6)] + [(8, text("same", 40), "en", "s1", 1)] * 3 + [(9, None, "en", "s1", 1), (10, text("z", 2000), "en", "s1", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    taken = Counter()
+    for r in corpus_pipeline.mixture(spark, docs, "").collect():
+        words = r.text.split(" ")
+        taken[r.doc_id, words[0].split("x")[0], r.source] += len(words)
+    plan, most = Counter(), Counter()
+    for r in mixing.mix(docs).collect():
+        plan[r.doc_id, r.source] += r.taken
+    for i, t, _, source, _ in rows:
+        if t:
+            most[i, t.split("x")[0], source] += 3 * len(t.split(" "))
+    got = Counter()
+    for (i, _, source), n in taken.items():
+        got[i, source] += n
+    assert got == +plan and got[None, "s0"] > 0 and got[None, None] > 0
+    assert all(n <= most[k] for k, n in taken.items())
