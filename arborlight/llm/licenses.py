@@ -8,12 +8,17 @@ template tokens. A block meets a template if it contains the share ``threshold``
 |B| - need + 1 of the block are looked at (prefix filter), if the block holds ``need`` tokens (length filter) and what
 follows the shared token suffices (positional filter). All others can't meet the threshold, so the join is exact.
 
+Sibling templates differ in a word or two, which the threshold lets pass. So a pair counts only if the block also tells the
+template from its siblings: for each template of another label that would itself meet this one, some token that the other
+lacks must be in the block; and where the template's own words hold the mark of its label (``MARKS``), so must the block's.
+
 The templates' index goes to the executors with the scan; its size is bounded and checked.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,11 +46,24 @@ TEMPLATES: list[tuple[str, str]] = [
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
 ]
 
+#: What tells a license from those with nearly the same words, as a pattern over words in lower case with a space between.
+MARKS = {
+    "mit": r"\b(?:the|under|an?) mit\b|\bmit licen[cs]e\b",
+    "apache": r"\bapache\b",
+    "gpl": r"(?<!\blesser )(?<!\blibrary )(?<!\baffero )\bgeneral public\b",
+    "lgpl": r"\b(?:lesser|library) general public\b",
+    "agpl": r"\baffero general public\b",
+    "mpl": r"\bmozilla public\b",
+    "cc-by-nc": r"\bby nc\b",
+    "cc-by-sa": r"\bby sa\b",
+    "cc-by": r"\bcreative commons attribution\b(?! (?:non ?commercial|share ?alike|no ?deriv))",
+}
+
 
 class TemplateIndex:
     """Postings of the templates' prefixes, over tokens numbered from the rarest."""
 
-    def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float):
+    def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float, marks: dict[str, str] | None = None):
         words = [alnum_words(t) for _, t in templates]
         order = sorted({w for ws in words for w in ws}, key=lambda w: (frequency.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(order)}
@@ -57,11 +75,30 @@ class TemplateIndex:
         for t, s in enumerate(self.sets):
             for i, r in enumerate(s[: len(s) - self.need[t] + 1]):
                 self.postings.setdefault(self.width[t], {}).setdefault(r, []).append((t, i))
+        self.apart = self._apart()
+        patterns = {label: re.compile(p.encode()) for label, p in (MARKS if marks is None else marks).items()}
+        self.marks = [p if (p := patterns.get(label)) and p.search(b" ".join(ws)) else None for label, ws in zip(self.labels, words, strict=True)]
         self.least = {w: min(self.need[t] for t in range(len(self.sets)) if self.width[t] == w and self.sets[t]) for w in self.postings}
         self.prefix_words = frozenset(order[r] for p in self.postings.values() for r in p)
 
+    def _apart(self) -> list[list[frozenset[int]]]:
+        """For each template, what it has over each template of another label that meets it; none where that holds all of it."""
+        holders: dict[int, list[int]] = {}
+        for t, s in enumerate(self.sets):
+            for r in s:
+                holders.setdefault(r, []).append(t)
+        out = []
+        for t, s in enumerate(self.sets):
+            near = {u for r in s[: len(s) - self.need[t] + 1] for u in holders[r] if self.labels[u] != self.labels[t]}
+            over = {frozenset(s).difference(self.sets[u]) for u in near}
+            out.append([x for x in over if x and len(s) - len(x) >= self.need[t]])
+        return out
+
+    def _told_apart(self, t: int, tokens: set[int], block: bytes) -> bool:
+        return not any(x.isdisjoint(tokens) for x in self.apart[t]) and (self.marks[t] is None or self.marks[t].search(block) is not None)
+
     def matches(self, words: list[bytes]) -> list[tuple[int, int, int, float]]:
-        """(template, first word of the block, its end, containment) of all block and template pairs over the threshold."""
+        """(template, first word of the block, its end, containment) of all block and template pairs over the threshold that no sibling explains."""
         if self.prefix_words.isdisjoint(words):
             return []
         rank, out = self.rank, []
@@ -86,7 +123,7 @@ class TemplateIndex:
                         if 1 + min(len(self.sets[t]) - i, len(block) - j) - 1 < need:
                             continue
                         shared = sum(x in tokens for x in self.sets[t])
-                        if shared >= need:
+                        if shared >= need and self._told_apart(t, tokens, b" ".join(words[k * width : (k + 2) * width])):
                             out.append((t, k * width, min(len(words), (k + 2) * width), shared / len(self.sets[t])))
         return out
 
@@ -127,6 +164,7 @@ def token_frequency(docs: DataFrame, text_col: str, tokens: set[bytes]) -> dict[
 def license_scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None,
     phrases: dict[str, str] | None = None, threshold: float = 0.8, most: int = 200_000,
+    marks: dict[str, str] | None = None,
 ) -> DataFrame:
     """One row per input row: id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
@@ -147,7 +185,7 @@ def license_scan(
     schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("blocks", pa.list_(block))])
 
     def run(batches):
-        index = TemplateIndex(templates, frequency, threshold)
+        index = TemplateIndex(templates, frequency, threshold, marks)
         for batch in batches:
             rows = {f.name: [] for f in schema}
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

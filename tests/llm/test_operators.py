@@ -59,6 +59,37 @@ def test_license_blocks_meet_the_threshold_exactly():
     assert index.matches(words[:5]) == []
 
 
+SIBLINGS = {
+    "Licensed under CC BY-NC 4.0": {"cc-by-nc"},
+    "Licensed under CC BY-SA 4.0": {"cc-by-sa"},
+    "Licensed under CC BY-NC 3.0": {"cc-by-nc"},
+    "it under the terms of the GNU General Public License as published by the Free Software Foundation": set(),
+    "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation": {"lgpl"},
+    "under the terms of the GNU Affero General Public License as published by the Free Software Foundation": {"agpl"},
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License": set(),
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License": {"gpl"},
+    "This work is licensed under the Mozilla Public License, version 3": set(),
+    "Released under the BSD License": set(),
+    "Released under the MIT License": {"mit"},
+    "Licensed under the Mozilla License, Version 2.0": set(),
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": set(),
+    "This work is licensed under a Creative Commons Attribution 4.0 International License": {"cc-by"},
+}
+
+
+def test_license_siblings_are_told_apart(spark):
+    df = spark.createDataFrame(list(enumerate(SIBLINGS)), "doc_id int, text string")
+    got = {r.doc_id: {b.label for b in r.blocks} for r in licenses.license_scan(df).collect()}
+    assert got == dict(enumerate(SIBLINGS.values()))
+
+
+def test_license_siblings_of_own_templates():
+    templates = [("one", "may be used freely by anyone in the north at will"), ("two", "may be used freely by anyone in the south at will")]
+    index = licenses.TemplateIndex(templates, {}, 0.8)
+    for t, (_, text) in enumerate(templates):
+        assert {m[0] for m in index.matches(text.encode().split())} == {t}
+
+
 def test_embedding_duplicates(spark):
     rng = np.random.default_rng(1)
     rows, base = [], rng.normal(size=(6, 16))
