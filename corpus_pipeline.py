@@ -20,12 +20,14 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns the languages from the rows that name theirs; rejects texts without a language or without a clear one; fills in
-    languages that are missing."""
+    """Learns the languages from the rows that name theirs; rejects texts without a letter, and those whose hits are spread over
+    languages; fills in languages that are missing. A text with letters and no hit at all (score 0) says nothing against
+    itself: it stays with the language that it has, null included."""
     names = docs.columns
     seen = langid.with_language(docs, langid.learn_filter(docs))
-    kept = seen.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LANGUAGE_SHARE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(names)
+    silent = F.col("lang_score") == 0
+    kept = seen.where((F.col("lang_pred") != langid.UNKNOWN) & (silent | (F.col("lang_score") >= LANGUAGE_SHARE)))
+    return kept.withColumn("lang", F.coalesce("lang", F.when(~silent, F.col("lang_pred")))).select(names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

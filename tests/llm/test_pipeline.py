@@ -51,3 +51,10 @@ def test_mixture_takes_each_row_as_often_as_planned(spark):
         got[i, source] += n
     assert got == +plan and got[None, "s0"] > 0 and got[None, None] > 0
     assert all(n <= most[k] for k, n in taken.items())
+
+
+def test_language_keeps_texts_without_evidence(spark):
+    rows = [(i, f"the {w} and that", "en", "s", 1) for i, w in enumerate(["cat", "dog", "house", "tree"])] + [(10 + i, f"der {w} und das", "de", "s", 1) for i, w in enumerate(["Hund", "Baum", "Tisch", "Wagen"])]
+    rows += [(20, "A.", "en", "s", 1), (21, "Qxz", None, "s", 1), (22, "the cat and that", None, "s", 1), (23, "!!", "en", "s", 1), (24, None, "en", "s", 1)]
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()}
+    assert got == {i: lang for i, _, lang, *_ in rows if i < 20} | {20: "en", 21: None, 22: "en"}
