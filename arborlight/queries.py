@@ -456,6 +456,24 @@ def q_deps_registry(spark, sf_dir):
     return R.dependency_findings(i, rows(spark, sf_dir, REGISTRY.replace("as exists", "as `exists`")))
 
 
+# The two queries above read 60 declarations at every size, as their SQL says; these read all of part, of whose names half are few and common.
+IMPORTS_WHOLE = DEP_IMPORTS.replace("(l_partkey % 60)", "(case when l_linenumber % 3 = 0 then l_partkey else l_partkey % 120 end)")
+DEPS_WHOLE = "select 'eco' || (p_partkey % 2) as eco, case when p_partkey % 3 = 1 then '' when p_partkey % 3 = 0 then 'r' || (p_partkey % 4) else 'r' || (p_size % 5) || '/d' || (p_partkey % 7) end as dir, 'pkg-' || (case when p_partkey % 4 < 2 then p_partkey % 90 else p_partkey end) as name, case when p_partkey % 5 = 0 or p_size % 2 = 0 then 'dev' else 'main' end as section from part"
+_DECL_WHOLE = _DECL.replace(DEP_IMPORTS, IMPORTS_WHOLE).replace(DEPS, DEPS_WHOLE)
+
+
+@query(f"with {_DECL_WHOLE} select * from q")
+def q_deps_declared_whole(spark, sf_dir):
+    return R.declared_imports(rows(spark, sf_dir, IMPORTS_WHOLE), rows(spark, sf_dir, DEPS_WHOLE))
+
+
+@query(_O["deps_registry"].replace(_DECL, _DECL_WHOLE))
+def q_deps_registry_whole(spark, sf_dir):
+    i = R.declared_imports(rows(spark, sf_dir, IMPORTS_WHOLE), rows(spark, sf_dir, DEPS_WHOLE))
+    i = i.withColumns({"is_test": F.col("file").like("r1/%"), "optional": F.col("id") % 5 == 0, "has_manifest": F.lit(True)})
+    return R.dependency_findings(i, rows(spark, sf_dir, REGISTRY.replace("as exists", "as `exists`")))
+
+
 POINTS = "select distinct l_suppkey as k, (l_orderkey * 10 + l_linenumber) * 1000 + cast(l_quantity as bigint) as point_id, cast(l_quantity * 20 as bigint) as at from lineitem"
 SPANS = "select p_partkey % 100 + 1 as k, p_partkey as span_id, p_size * 17 as lo, p_size * 17 + p_partkey % 300 as hi from part"
 

@@ -139,6 +139,17 @@ def test_query_equals_its_sql(spark, name):
     assert sorted([key(r[c] for c in sorted(names)) for r in got.collect()]) == sorted([key(r[names.index(c)] for c in sorted(names)) for r in want.fetchall()])
 
 
+def test_whole_declarations_are_read(spark):
+    got = {}
+    for name in ("deps_declared_whole", "deps_registry_whole"):
+        assert "where p_partkey <=" not in Q.oracle_sql()[name]
+        got[name] = Q.queries()[name](spark, SF).collect()
+    late = Q.rows(spark, SF, "select distinct 'Pkg_' || p_partkey as package from part where p_partkey > 120 and p_partkey % 4 >= 2").collect()
+    declared = {r.declared for r in got["deps_declared_whole"] if r.package in {x.package for x in late}}
+    assert declared == {True, False}
+    assert {r.rule for r in got["deps_registry_whole"]} == {"nonexistent-package", "undeclared-dependency", "dev-dependency-in-source"}
+
+
 def test_entry_points_name_every_query():
     import __spark_entry__
 
