@@ -31,15 +31,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that share five-word shingles at a similarity of 0.8 or more, the least id stays."""
+    """Of each group of rows that share five-word shingles at a similarity of 0.8 or more, one stays: that with the least id, null
+    last; of equal ids, the one with the least hash of its text. Rows with a null or a repeated id are documents of their own,
+    so a row goes only if its own text is a duplicate. Texts without words all stay."""
     names = docs.columns
     scratch = Scratch(spark, "pipeline-neardup")
-    gone = scratch.save(minhash_dedup.near_duplicates(docs, shingle=5, percent=80).where("not kept").select(F.col("doc_id").alias("gone")).distinct())
+    docs = scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = minhash_dedup.near_duplicates(docs, id_col="_row", shingle=5, percent=80).where("component_id is not null")
+    keys = docs.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row").alias("_order"))
+    found = scratch.save(found.join(keys, "_row").select("_row", "component_id", "_order"))
+    first = found.groupBy("component_id").agg(F.min("_order").alias("_least")).select(F.col("_least._row").alias("_stays"))
+    gone = scratch.save(found.join(first, F.col("_row") == F.col("_stays"), "left_anti").select(F.col("_row").alias("gone")))
     words = bloom_filter(gone, "gone")
     # only rows that the filter can't clear are joined, so kept texts aren't shuffled
-    flagged = scratch.save(bloom_has(docs.select("doc_id").where("doc_id is not null"), "doc_id", words).distinct().join(gone, F.col("doc_id") == F.col("gone"), "left_semi"))
-    suspects = bloom_has(docs.where("doc_id is not null"), "doc_id", words).join(flagged, "doc_id", "left_anti")
-    clear = bloom_has(docs, "doc_id", words, keep=False)
+    suspects = bloom_has(docs, "_row", words).join(gone, F.col("_row") == F.col("gone"), "left_anti")
+    clear = bloom_has(docs, "_row", words, keep=False)
     return clear.select(names).unionByName(suspects.select(names))
 
 

@@ -58,3 +58,13 @@ def test_language_keeps_texts_without_evidence(spark):
     rows += [(20, "A.", "en", "s", 1), (21, "Qxz", None, "s", 1), (22, "the cat and that", None, "s", 1), (23, "!!", "en", "s", 1), (24, None, "en", "s", 1)]
     got = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()}
     assert got == {i: lang for i, _, lang, *_ in rows if i < 20} | {20: "en", 21: None, 22: "en"}
+
+
+def test_one_row_of_each_group_stays(spark):
+    text = lambda tag: " ".join(f"{tag}{k}" for k in range(60))
+    rows = [(1, "a"), (1, "a"), (1, "b"), (2, "b"), (3, "a"), (None, "c"), (None, "c"), (None, "d"), (None, "e"), (9, "e"), (5, "f"), (4, "f")]
+    rows = [(i, text(t), "en", "s", 1) for i, t in rows] + [(None, "", "en", "s", 1)] * 2 + [(6, None, "en", "s", 1)] * 2
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3), "").collect()
+    got = Counter((r.doc_id, (r.text or "-")[0]) for r in out if r.text)
+    assert got == Counter([(1, "a"), (1, "b"), (None, "c"), (None, "d"), (9, "e"), (4, "f")])
+    assert Counter(r.text for r in out if not r.text) == {"": 2, None: 2}
