@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborlight.functions.scalar import normalize_package
+from arborlight.functions.scalar import normalize_package, package_names
 
 
 def suffixes(path: Column, sep: str = "/") -> Column:
@@ -60,7 +60,8 @@ def ancestors(path: Column) -> Column:
 
 def declared_imports(imports: DataFrame, deps: DataFrame) -> DataFrame:
     """imports(id, file, eco, package) with (declared, dev_only) by the manifests deps(eco, dir, name, section) in folders above."""
-    up = imports.select("id", "eco", F.explode(F.transform(ancestors(F.col("file")), lambda d: d)).alias("dir"), normalize_package(F.col("package")).alias("name"))
+    up = imports.select("id", "eco", F.explode(F.transform(ancestors(F.col("file")), lambda d: d)).alias("dir"), package_names(F.col("eco"), F.col("package")).alias("names"))
+    up = up.select("id", "eco", "dir", F.explode("names").alias("name"))
     d = deps.select("eco", "dir", normalize_package(F.col("name")).alias("name"), F.col("section").isin("dev", "test").alias("dev")).distinct()
     met = up.join(d, ["eco", "dir", "name"]).groupBy("id").agg(F.bool_and("dev").alias("dev_only"))
     return imports.join(met, "id", "left").select(*imports.columns, F.col("dev_only").isNotNull().alias("declared"), F.coalesce("dev_only", F.lit(False)).alias("dev_only"))

@@ -97,6 +97,24 @@ def test_weakened_tests(spark):
     assert got == {("a.py", "deleted-test", 1, 0.8), ("a.py", "added-skip", 1, 0.95), ("a.py", "assertions-reduced", 2, 0.4), ("a.py", "assertion-loosened", 3, 0.6), ("b.py", "deleted-test-file", 1, 0.85)}
 
 
+def test_focus_attributes_and_csharp(spark):
+    head = lambda p: f"diff --git a/{p} b/{p}\n--- a/{p}\n+++ b/{p}\n"
+    found = lambda p, body, rules: {(r.rule, r.line, r.symbol, r.confidence) for r in W.analyze(W.parse_diff(spark, head(p) + body), rules).collect()}
+    assert found("a.test.ts", "@@ -9,0 +10,2 @@\n+  test.only('focus', () => {});\n+  fit('x', () => {});\n", W.JAVASCRIPT) == {("added-focus", 10, None, 0.9), ("added-focus", 11, None, 0.9)}
+    rust = "@@ -5,5 +4,0 @@\n-#[test]\n-fn gone() {\n-}\n-fn helper() {\n-}\n"
+    assert found("src/a.rs", rust, W.RUST) == {("deleted-test", 5, "gone", 0.8)}
+    java = "@@ -5,4 +5,2 @@\n-    @Test\n-    public void moved() {}\n-    void helper() {}\n+    @Test\n+    public void moved() { }\n"
+    assert found("src/test/ATest.java", java, W.JAVA) == set()
+    cs = "@@ -10,4 +9,0 @@\n-        [Fact]\n-        public void TestGone()\n-        {\n-        }\n@@ -40,0 +35,1 @@\n+        [Fact(Skip = \"flaky\")]\n"
+    assert found("Src/X.Tests/FooTests.cs", cs, W.BY_ENDING[".cs"]) == {("deleted-test", 10, "TestGone", 0.8), ("added-skip", 35, None, 0.95)}
+
+
+def test_imports_of_distributions_with_other_names(spark):
+    i = spark.createDataFrame([(1, "a/b.py", "pypi", "yaml"), (2, "a/b.py", "pypi", "PIL"), (3, "a/b.js", "npm", "yaml")], "id int, file string, eco string, package string")
+    d = spark.createDataFrame([("pypi", "", "PyYAML", "main"), ("npm", "", "pyyaml", "main")], "eco string, dir string, name string, section string")
+    assert {r.id: r.declared for r in R.declared_imports(i, d).collect()} == {1: True, 2: False, 3: False}
+
+
 def test_manifests(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "requirements.txt").write_text("requests>=2 # http\n-r other.txt\ngit+https://x/y\nPyYAML[x] @ https://z\n")
