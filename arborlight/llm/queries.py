@@ -77,7 +77,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_report(table(spark, sf_dir, "documents"))
+    return secrets.secret_report(table(spark, sf_dir, "documents"), reach=None)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 Patterns find parts of credentials: assigned secrets, access identifiers, hexadecimal keys (reported always), and weak
 candidates: opaque runs, logins and endpoints. Positions come from the pieces that a split at the same pattern leaves
 between the matches, summed up in two levels, so that a text with many matches costs little more than its length.
-Parts are intervals, widened by ``reach`` code points; within a scope (a stretch of text without an empty line) the
-intervals are joined, and a weak candidate is reported only where its complementary parts overlap it: an opaque run
+Within a scope (a stretch of text without an empty line) the parts are joined, all with all or, as intervals widened by
+``reach`` code points, with those near by, and a weak candidate is reported only where its complementary parts meet it: an opaque run
 beside an identifier, a login beside a secret, an endpoint beside both. The parts of a text stay in its row: nothing is
 shuffled, and no row depends on another.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: The leftmost run of 18 and 16 or more characters is the run that the shorter pattern finds, if that is long enough.
 ACCESS, HEX = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
-OPAQUE = r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]{0,64}[0-9])[A-Za-z0-9+/]{32,}={0,2}"
+OPAQUE = r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{32,}={0,2}"
 LOGIN = r"""(?i)\b(?:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
 ENDPOINT = r"""\b(?:https?|ftp|ssh|s3|postgres|postgresql|mysql|mongodb|redis|amqp)://[A-Za-z0-9._:@/-]+"""
 BREAK = r"\n[ \t]*\n"
@@ -61,10 +61,21 @@ def _near(q: str, kinds: list[str], reach: int) -> str:
     return "(" + " or ".join(f"exists(_{k}, p -> p.start <= {q}.end + {reach} and p.end + {reach} >= {q}.start and size(filter(_break, b -> b.start >= least(p.end, {q}.end) and b.end <= greatest(p.start, {q}.start))) = 0)" for k in kinds) + ")"
 
 
-def secret_parts(docs: DataFrame, text_col: str = "text", reach: int = 200) -> DataFrame:
+def _scope(q: str) -> str:
+    """SQL: the number of the scope that q stands in."""
+    return f"size(filter(_break, b -> b.end <= {q}.start))"
+
+
+def _meets(q: str, kinds: list[str], reach: int | None) -> str:
+    """SQL: whether q meets a part of one of the kinds; without a reach, anywhere in its scope."""
+    return _near(q, kinds, reach) if reach is not None else "(" + " or ".join(f"array_contains(_scopes_{k}, {_scope(q)})" for k in kinds) + ")"
+
+
+def secret_parts(docs: DataFrame, text_col: str = "text", reach: int | None = 200) -> DataFrame:
     """docs with the columns ``secret_parts`` (array of struct(start, kind_no, end, kind): all that is reported, in order) and
     n_assign, n_access, n_hex. Offsets count code points, the end is exclusive.
 
+    Parts are linked over ``reach`` code points; None links them over the whole of their scope, whatever its length.
     A null text is an empty one and has no parts; texts are scanned whole; rows don't influence each other, so repeated rows repeat
     results and empty tables stay empty. Columns of docs are kept; those named like a new column are replaced.
     """
@@ -82,10 +93,12 @@ def secret_parts(docs: DataFrame, text_col: str = "text", reach: int = 200) -> D
     # an opaque run that a reported part covers is no new find
     inside = " or ".join(f"exists(_{k}, p -> p.start < q.end and q.start < p.end)" for k in ("assign", "access", "hex"))
     df = df.withColumn("_opaque", F.expr(f"filter(_opaque, q -> not ({inside}))"))
+    if reach is None:
+        df = df.withColumns({f"_scopes_{k}": F.expr(f"array_distinct(transform(_{k}, p -> {_scope('p')}))") for k in ("access", "login", "assign", "hex", "opaque")})
     df = df.withColumns({
-        "_opaque_": F.expr(f"filter(_opaque, q -> {_near('q', ['access', 'login'], reach)})"),
-        "_login_": F.expr(f"filter(_login, q -> {_near('q', ['assign', 'hex', 'opaque'], reach)})"),
-        "_endpoint_": F.expr(f"filter(_endpoint, q -> {_near('q', ['access', 'login'], reach)} and {_near('q', ['assign', 'hex', 'opaque'], reach)})"),
+        "_opaque_": F.expr(f"filter(_opaque, q -> {_meets('q', ['access', 'login'], reach)})"),
+        "_login_": F.expr(f"filter(_login, q -> {_meets('q', ['assign', 'hex', 'opaque'], reach)})"),
+        "_endpoint_": F.expr(f"filter(_endpoint, q -> {_meets('q', ['access', 'login'], reach)} and {_meets('q', ['assign', 'hex', 'opaque'], reach)})"),
     })
     all_parts = ", ".join(f"transform({c}, x -> struct(x.start as start, {i} as kind_no, x.end as end, '{k}' as kind))" for i, (k, c) in enumerate(zip(KINDS, ["_assign", "_access", "_hex", "_opaque_", "_login_", "_endpoint_"], strict=True)))
     return df.select(
@@ -108,7 +121,7 @@ def redacted(text: str, parts: str, mark: str = "[SECRET]") -> Column:
     return F.expr(f"case when size({parts}) = 0 then {text} else {whole} end")
 
 
-def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 200) -> DataFrame:
+def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = 200) -> DataFrame:
     """One row per input row: id, counts of the base kinds, base_sha256 of the base spans, and all spans. See secret_parts."""
     found = secret_parts(docs.select(F.col(id_col), F.col(text_col)), text_col, reach)
     return found.select(id_col, "n_assign", "n_access", "n_hex", F.sha2(span_text("secret_parts", True), 256).alias("base_sha256"), span_text("secret_parts", False).alias("spans"))

@@ -51,7 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every reported span is replaced by a mark; texts without one stay as they are."""
-    found = secrets.secret_parts(docs)
+    found = secrets.secret_parts(docs, reach=None)
     found = found.withColumn("text", secrets.redacted("text", "secret_parts"))
     return found.withColumn("n_chars", F.when(F.size("secret_parts") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 

@@ -285,6 +285,19 @@ def test_weak_candidates_need_their_complement(spark):
     assert clean[0] == opaque and clean[1] == "[SECRET] then [SECRET]" and clean[4] == "db [SECRET] [SECRET] [SECRET]"
 
 
+def test_weak_candidates_meet_over_the_whole_scope(spark):
+    opaque, late = "Zz9" * 12, "Ab" * 40 + "7" + "x" * 9
+    texts = [f"login: bob_1 {'pad ' * 400} {opaque}", f"login: bob_1\n\n{'pad ' * 400} {opaque}", f"login: bob_1 {late}", f"{opaque}\n\nuser: bob_1 {'pad ' * 99} password=abcdefghijkl db postgres://h/x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = {r.doc_id: [p.kind for p in r.secret_parts] for r in secrets.secret_parts(df, reach=None).collect()}
+    assert kinds == {0: ["login", "opaque"], 1: [], 2: ["login", "opaque"], 3: ["login", "assign", "endpoint"]}
+    assert [p.kind for p in secrets.secret_parts(df.where("doc_id = 2")).first().secret_parts] == ["login", "opaque"]
+    import corpus_pipeline
+
+    spans = corpus_pipeline.secret_spans(spark, df.withColumn("n_chars", df["doc_id"]), "").where("doc_id = 0").first()
+    assert spans.text.startswith("[SECRET] pad") and spans.text.endswith("pad  [SECRET]")
+
+
 def test_language_id(spark, docs, none):
     rng = random.Random(4)
     parts = {"aa": ["thi", "ing", "ed"], "bb": ["sch", "ung", "ei"], "cc": ["éau", "ion", "oi"]}
