@@ -8,6 +8,8 @@ is expected to give are taken out, and the language with the most hits is the an
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,6 +19,8 @@ from arborlight.llm.common import mix64
 from arborlight.plans.durable import Scratch
 
 UNKNOWN = "und"
+#: A filter gets as many slots as keep the share of set bits of each language to FILL, up to 2^MOST_BITS; past FULL it tells nothing.
+FILL, FULL, MOST_BITS = 0.25, 0.5, 23
 _P = np.uint64(0x9E3779B97F4A7C15)
 _LETTERS: list[np.ndarray] = []
 
@@ -85,11 +89,23 @@ class LanguageFilter:
         return self.languages[best], float(true[best] / true.sum()) if true.sum() > 0 else 0.0
 
 
+def fitting_bits(most: int, bits: int, hashes: int) -> int:
+    """The least number of slot bits, from ``bits`` on, at which so many n-grams fill a share of FILL at most."""
+    fill = lambda b: 1 - math.exp(-hashes * most / (1 << b))
+    while bits < MOST_BITS and fill(bits) > FILL:
+        bits += 1
+    if fill(bits) > FULL:
+        raise ValueError(f"{most} typical n-grams of a language would fill {fill(bits):.0%} of 2^{bits} slots")
+    return bits
+
+
 def learn_filter(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n: int = 4, slot_bits: int = 20, hashes: int = 2, share: float = 0.4, least: int = 3,
 ) -> LanguageFilter:
     """From all rows whose language isn't null. An n-gram is typical of a language that has it ``least`` times and, of its relative
-    frequencies over all languages, the given share. Counts are summed by the cluster; 2^slot_bits slots at most come to the driver."""
+    frequencies over all languages, the given share. Counts are summed by the cluster. There are 2^slot_bits slots, or as many more as
+    the language with most typical n-grams needs (see FILL), 2^MOST_BITS at most, and no more come to the driver; ValueError if
+    even these would be fuller than FULL."""
 
     def count(batches):
         for b in batches:
@@ -107,16 +123,18 @@ def learn_filter(
     counts = Scratch(docs.sparkSession, "langid").save(counts)
     totals = counts.groupBy("lang").agg(F.sum("c").alias("total")).orderBy(F.desc("total"), "lang").collect()  # a row for each language
     languages = [r.lang for r in totals]
-    size = 1 << slot_bits
-    table = np.zeros((max(1, -(-len(languages) // 63)), size), np.int64)
     if not languages:
-        return LanguageFilter([], table, n, hashes)
+        return LanguageFilter([], np.zeros((1, 1 << slot_bits), np.int64), n, hashes)
     number = docs.sparkSession.createDataFrame([(r.lang, i, float(r.total)) for i, r in enumerate(totals)], "lang string, number int, total double")
     rated = counts.join(F.broadcast(number), "lang").withColumn("f", F.col("c") / F.col("total"))
     sums = rated.groupBy("gram").agg(F.sum("f").alias("all"), F.collect_list(F.struct("number", "f", "c")).alias("in"))  # as many as languages
     typical = sums.select("gram", "all", F.explode("in").alias("x")).where((F.col("x.c") >= least) & (F.col("x.f") >= share * F.col("all")))
+    typical = Scratch(docs.sparkSession, "langid-typical").save(typical.select("gram", F.col("x.number").alias("number")))
+    most = typical.groupBy("number").count().agg(F.max("count")).first()[0] or 0
+    size = 1 << fitting_bits(most, slot_bits, hashes)
+    table = np.zeros((-(-len(languages) // 63), size), np.int64)
     at = F.explode(F.array(*[F.shiftrightunsigned("gram", 21 * i).bitwiseAND(F.lit(size - 1)).cast("int") for i in range(hashes)]))
-    bits = typical.select(F.expr("cast(x.number div 63 as int)").alias("w"), F.expr("shiftleft(1L, x.number % 63)").alias("m"), at.alias("slot"))
+    bits = typical.select(F.expr("cast(number div 63 as int)").alias("w"), F.expr("shiftleft(1L, number % 63)").alias("m"), at.alias("slot"))
     rows = bits.groupBy("w", "slot").agg(F.bit_or("m").alias("m")).toPandas()
     table[rows["w"].to_numpy(int), rows["slot"].to_numpy(int)] = rows["m"].to_numpy(np.int64)
     return LanguageFilter(languages, table, n, hashes)

@@ -321,6 +321,20 @@ def test_language_id(spark, docs, none):
     assert many.decide("abc def")[0] == "l69"
 
 
+def test_language_slots_grow_with_the_typical_ngrams(spark):
+    rng = random.Random(6)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(6)) for _ in range(300)] for lang, letters in (("aa", "abcdefgh"), ("bb", "abcdefgi"), ("cc", "abcdefgj"))}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(60)), lang) for i in range(150) for lang in words]
+    df = spark.createDataFrame([(k, t, lang) for k, (_, t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    learnt = langid.learn_filter(df, slot_bits=6)
+    assert learnt.table.shape[1] > 64 and max(learnt.false) <= langid.FILL**learnt.hashes * 1.1
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df, learnt).collect()}
+    assert all(got[k] == lang for k, (_, _, lang) in enumerate(rows))
+    assert langid.fitting_bits(11_000, 20, 2) == 20 and langid.fitting_bits(1_000_000, 20, 2) == 23
+    with pytest.raises(ValueError):
+        langid.fitting_bits(50_000_000, 20, 2)
+
+
 def test_targets_fill_up_to_three_times(spark):
     cases = [[(10, 1), (1000, 2), (50, 3), (0, 1)], [(5, 1)], [(0, 1), (0, 2)], [(100, 1), (100, 2), (100, 3)]]
     for case in cases:
