@@ -7,6 +7,9 @@ one block of bytes: it is broadcast (its size is bounded by the number of words)
 a file that is unlinked at once. Words that aren't in the lexicon are merged by the exact rules: always the pair of
 the lowest rank, the leftmost first.
 
+No word reaches over white space, so texts are cut there first, and a task remembers what the last distinct pieces came to:
+the automaton is asked, or an unseen word merged, when a task meets a piece for the first time.
+
 Text is treated as the tokenizer file says: special tokens first, then NFC, white space, lower case (per character),
 the splitting pattern, and UTF-8 bytes as printable characters. Without a decoder in the file, decoding joins the
 tokens by spaces.
@@ -21,6 +24,7 @@ import mmap
 import struct
 import tempfile
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +39,12 @@ from arborlight.plans.durable import Scratch
 _WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_WS}\p{{L}}\p{{N}}]+")
 
+_PIECE = regex.compile(f"[^{_WS}]+")
+#: Longer pieces aren't remembered.
+_LONG = 64
+#: White space to str.split(), but not to the tokenizer.
+_ODD_WS = "\x1c\x1d\x1e\x1f"
+
 #: Letters and numbers of a later Unicode version than the tokenizer's: symbols to it. Texts with one are split apart.
 _LATE = (
     "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a "
@@ -141,16 +151,21 @@ class Vocabulary:
         return [p for p in parts if p >= 0]
 
     def segments(self, text: str):
-        """Words of a text as lists, and ids of special tokens between them."""
+        """Pieces of a text as lists, and ids of special tokens between them."""
         if self.splitter is None or "<|" not in text:
-            yield words(text)
+            yield pieces(text)
             return
         at = 0
         for m in self.splitter.finditer(text):
-            yield words(text[at : m.start()])
+            yield pieces(text[at : m.start()])
             yield self.special[m[0]]
             at = m.end()
-        yield words(text[at:])
+        yield pieces(text[at:])
+
+
+def pieces(text: str) -> list[str]:
+    """What stands between white space. NFC composes nothing over white space, so pieces can be treated one by one."""
+    return _PIECE.findall(text) if any(c in text for c in _ODD_WS) else text.split()
 
 
 def words(text: str) -> list[str]:
@@ -255,23 +270,27 @@ class Lexicon:
 
 
 class _Pieces(dict):
-    """word -> (its ids, its tokens), each joined by spaces; bounded."""
+    """Piece between white space -> (ids, tokens) of its words, each joined by spaces; forgets all when it holds too many."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, most: int):
         super().__init__()
         self.v, self.lexicon, self.most = vocabulary, lexicon, most
 
-    def __missing__(self, word: str) -> tuple[str, str]:
-        data = word.encode("utf-8", "surrogatepass")
-        ids = self.lexicon.get(data) or self.v.merge(data)
+    def __missing__(self, piece: str) -> tuple[str, str]:
+        ids: list[int] = []
+        for word in words(piece):
+            data = word.encode("utf-8", "surrogatepass")
+            ids += self.lexicon.get(data) or self.v.merge(data)
         if len(self) >= self.most:
             self.clear()
-        out = self[word] = (" ".join(map(str, ids)), " ".join([self.v.tokens[i] for i in ids]))
+        out = (" ".join(map(str, ids)), " ".join([self.v.tokens[i] for i in ids]))
+        if len(piece) <= _LONG:
+            self[piece] = out
         return out
 
 
 class Codec:
-    """Encodes and decodes whole texts; holds at most ``most`` words that it has seen."""
+    """Encodes and decodes whole texts; remembers at most ``most`` pieces that it has seen."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, most: int = 200_000):
         self.v, self.pieces = vocabulary, _Pieces(vocabulary, lexicon, most)
@@ -286,32 +305,44 @@ class Codec:
                 ids.append(str(part))
                 out.append(self.v.tokens[part])
             elif part:
-                found = list(map(get, part))
-                ids += [x[0] for x in found]
-                out += [x[1] for x in found]
-        return " ".join(ids), " ".join(out)
+                i, o = zip(*map(get, part), strict=True)
+                ids += i
+                out += o
+        # a piece without a token (all of it is dropped) leaves nothing to join
+        return (" ".join(ids), " ".join(out)) if "" not in ids else (" ".join(filter(None, ids)), " ".join(filter(None, out)))
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.v.tokens[i] for i in ids if 0 <= i < len(self.v.tokens) and self.v.tokens[i]])
 
 
-def frequent_words(docs: DataFrame, scratch: Scratch, spec: dict, text_col: str, most: int) -> list[tuple[bytes, list[int]]]:
+def frequent_words(docs: DataFrame, scratch: Scratch, spec: dict, text_col: str, most: int, held: int = 200_000) -> list[tuple[bytes, list[int]]]:
     """The most frequent words of all texts, with their ids; fewer than ``most``, as counts at the border tie.
 
-    Counted in batches, then by the cluster; the least count that enough words have comes from the counts' histogram.
+    Pieces are counted in tasks, which hold ``held`` distinct ones at most before they hand their words' counts on; then words by
+    the cluster. The least count that enough words have comes from the counts' histogram.
     """
 
     def count(batches):
         v = Vocabulary(spec)
+        seen: Counter[str] = Counter()
+
+        def counts():
+            total: dict[str, int] = {}
+            for piece, c in seen.items():
+                for w in words(piece):
+                    if len(w) <= 40 and w.isprintable():  # others are merged as they come
+                        total[w] = total.get(w, 0) + c
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+
         for batch in batches:
-            seen: dict[str, int] = {}
             for x in batch.column(0):
                 for part in v.segments(x.as_py() or ""):
                     if not isinstance(part, int):
-                        for w in part:
-                            seen[w] = seen.get(w, 0) + 1
-            seen = {w: c for w, c in seen.items() if len(w) <= 40 and w.isprintable()}  # others are merged as they come
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+                        seen.update(part)
+                if len(seen) >= held:
+                    yield counts()
+        yield counts()
 
     counts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = scratch.save(counts)
