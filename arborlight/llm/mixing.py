@@ -19,43 +19,58 @@ from arborlight.plans.durable import Scratch
 
 
 def targets(sources: DataFrame, most: int = 3) -> DataFrame:
-    """(source, source_size, weight) with the column target; one row for each source.
+    """(source, source_size, weight) with the columns target and votes; one row for each source.
 
-    min(most * size, level * weight) with the level that makes the sum right: sources are capped in order of size / weight.
+    min(most * size, level * weight) with the level that makes the sum right: sources are capped in order of size / weight. votes are
+    the targets times a number that all sources share, as whole numbers (most * all words * all weights must stay below 2^63).
     """
     by_ratio = Window.orderBy((F.col("source_size") / F.col("weight")), F.col("source").asc_nulls_last())
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    df = sources.withColumns({"_total": F.sum("source_size").over(every), "_weights": F.sum("weight").over(every)})
-    df = df.withColumns({"_capped": F.coalesce(F.sum(F.lit(most) * F.col("source_size")).over(before), F.lit(0)), "_used": F.coalesce(F.sum("weight").over(before), F.lit(0))})
+    cap = F.lit(most) * F.col("source_size")
+    df = sources.withColumn("weight", F.col("weight").cast("long")).withColumns({"_total": F.sum("source_size").over(every), "_weights": F.sum("weight").over(every)})
+    df = df.withColumns({"_over": F.col("_total") - F.coalesce(F.sum(cap).over(before), F.lit(0)), "_under": F.col("_weights") - F.coalesce(F.sum("weight").over(before), F.lit(0))})
     # the level if all sources before this one are capped and it is not; capping one more than needed only lowers it
-    level = (F.col("_total") - F.col("_capped")) / (F.col("_weights") - F.col("_used"))
-    df = df.withColumn("_level", F.when(level * F.col("weight") <= F.lit(most) * F.col("source_size"), level))
-    df = df.withColumn("_level", F.max("_level").over(every))
-    cap = (F.lit(most) * F.col("source_size")).cast("double")
-    return df.withColumn("target", F.coalesce(F.least(F.col("_level") * F.col("weight"), cap), cap)).drop("_total", "_weights", "_capped", "_used", "_level")
+    level = F.struct((F.col("_over") / F.col("_under")).alias("level"), "_over", "_under")
+    df = df.withColumn("_level", F.max(F.when(F.col("_over") * F.col("weight") <= cap * F.col("_under"), level)).over(every))
+    share, whole = F.col("_level._over") * F.col("weight"), cap * F.col("_level._under")
+    votes = F.when(F.col("_level").isNull(), cap).otherwise(F.greatest(F.lit(0), F.least(share, whole)))
+    target = F.when(F.col("_level").isNull(), cap.cast("double")).otherwise(F.least(F.col("_level.level") * F.col("weight"), cap.cast("double")))
+    return df.withColumns({"target": target, "votes": votes}).drop("_total", "_weights", "_over", "_under", "_level")
+
+
+#: Quotients are compared by their whole part and three more digits in this base, by long division: exact for fewer than 9e9 seats in a row.
+_DIGIT = 1_000_000_000
 
 
 def _apportion(df: DataFrame, votes: Column, seats: Column, group: list[str], key: str) -> DataFrame:
-    """Adds seats to each row of a group by the highest quotients votes / (2s + 1); ties to the lesser key.
+    """Adds seats to each row of a group by the highest quotients votes / (2s + 1); ties to the lesser key, null last.
 
-    Rounding votes by a common divisor gives the seats won by quotients above it. A few steps bring the divisor to where
-    that is nearly the group's seats, and the difference is dealt out by the next quotients, one to a row at most.
+    votes and seats are columns of whole numbers; seats is equal in a group, whose rows the key tells apart. Rounding votes * rate
+    gives the seats that quotients over 1 / (2 * rate) win, and over m rows rounding errs by m / 2 at most. So the rates
+    (n - m/2 - 1) / all and (n + m/2 + 1) / all give too few and too many seats. What lies between them, about four quotients a
+    row, is ranked, and the highest make up the n. Null and negative votes win nothing; without votes no row does.
     """
     w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    df = df.withColumns({"_v": votes.cast("double"), "_n": seats.cast("long")})
-    df = df.withColumn("_all", F.nullif(F.sum("_v").over(w), F.lit(0.0)))
-    df = df.withColumn("_rate", F.col("_n") / F.col("_all"))
-    for step in range(5):
-        df = df.withColumn("_s", F.coalesce(F.floor(F.col("_v") * F.col("_rate") + 0.5), F.lit(0)).cast("long"))
-        df = df.withColumn("_over", F.sum("_s").over(w) - F.col("_n"))
-        if step < 4:
-            df = df.withColumn("_rate", F.col("_rate") - F.col("_over") / F.col("_all"))
-    gain, loss = F.col("_v") / (2 * F.col("_s") + 1), F.col("_v") / (2 * F.col("_s") - 1)
-    up = F.row_number().over(w.orderBy(gain.desc(), F.col(key).asc_nulls_last()))
-    down = F.row_number().over(w.orderBy(F.when(F.col("_s") > 0, loss).asc_nulls_last(), F.col(key).desc_nulls_first()))
-    fixed = F.col("_s") + F.when((F.col("_over") < 0) & (up <= -F.col("_over")), 1).when((F.col("_over") > 0) & (down <= F.col("_over")), -1).otherwise(0)
-    return df.withColumn("seats", F.when(F.col("_v") > 0, F.greatest(fixed, F.lit(0))).otherwise(0).cast("long")).drop("_v", "_n", "_all", "_rate", "_s", "_over")
+    df = df.withColumns({"_v": F.when(votes > 0, votes.cast("long")).otherwise(0), "_n": F.greatest(seats.cast("long"), F.lit(0))})
+    df = df.withColumns({"_all": F.sum("_v").over(w).cast("double"), "_half": F.count(F.lit(1)).over(w) / 2 + 1})
+    at = lambda n, slack: F.when((F.col("_v") > 0) & (F.col("_n") > 0), F.greatest(F.lit(0), F.floor(F.col("_v") * (n / F.col("_all")) + 0.5).cast("long") + slack)).otherwise(0).cast("long")
+    df = df.withColumns({"_low": at(F.greatest(F.lit(0.0), F.col("_n") - F.col("_half")), -1), "_high": at(F.col("_n") + F.col("_half"), 1)})
+    df = df.withColumn("_left", F.col("_n") - F.sum("_low").over(w))
+    open_ = df.where("_high > _low").select(*group, F.col(key).alias("_key"), "_v", "_left", F.explode(F.sequence(F.col("_low"), F.col("_high") - 1)).alias("_s")).withColumn("_d", 2 * F.col("_s") + 1)
+    digits, rest = [], "_v"
+    for i in range(4):
+        open_ = open_.withColumns({f"_q{i}": F.expr(f"{rest} div _d"), f"_r{i}": F.expr(f"({rest} % _d) * {_DIGIT}")})
+        digits.append(F.col(f"_q{i}").desc())
+        rest = f"_r{i}"
+    best = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    won = open_.withColumn("_place", F.row_number().over(best.orderBy(*digits, F.col("_key").asc_nulls_last()))).where("_place <= _left")
+    won = won.groupBy(*group, "_key").agg(F.count(F.lit(1)).alias("_won")).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "_key", "_won")
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    out = df.join(won, same, "left").withColumn("seats", F.col("_low") + F.coalesce("_won", F.lit(0)))
+    return out.drop("_v", "_n", "_all", "_half", "_low", "_high", "_left", "_key", "_won", *[f"_g{i}" for i in range(len(group))])
 
 
 def word_count(text: Column) -> Column:
@@ -71,7 +86,8 @@ def mix(
     wrapped: whole passes; then length words from the word first (from 0) on, and the wrapped first words, once more.
 
     Sources in code point order, null last, have the weights in turn. Null and empty texts have size 0 and nothing is
-    taken of them. Repeated rows are documents of their own that share their place in the seeded order. Blocks have
+    taken of them. Repeated rows are documents of their own that share their place in the seeded order. The shards of a source are apportioned in
+    one window of a row for each ``shard_rows`` documents: 4,096 serve up to some 10^10 documents in a source (2.4 million rows); take 65,536 beyond. Blocks have
     ``block_words`` words, or fewer, so that the smallest target still has 100. An empty table gives an empty result; other
     columns are not read. The result depends on ids and sizes alone. ``row_col``, which tells all rows apart, is carried through and
     breaks ties of the order, so that callers can join the plan back where ids are null or repeated.
@@ -86,7 +102,7 @@ def mix(
     sources = targets(sources, most)
     every = Window.partitionBy(F.lit(0))
     sources = sources.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.min(F.when(F.col("target") > 0, F.col("target"))).over(every) / 100))).cast("long"))
-    sources = _apportion(sources, F.col("target"), F.round(F.sum("target").over(every) / F.col("block")), [], "source").withColumnRenamed("seats", "source_seats")
+    sources = _apportion(sources, F.col("votes"), F.floor(F.sum("target").over(every) / F.col("block") + 0.500001), [], "source").withColumnRenamed("seats", "source_seats")
     sources = scratch.save(sources.withColumn("shards", F.ceil(F.col("n") / shard_rows).cast("int")).select("source", "source_size", "target", "block", "source_seats", "shards"))
     keyed = sources.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("key"), "source_size", "target", "block", "source_seats", "shards")
     rows = sized.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).join(keyed, "key")
