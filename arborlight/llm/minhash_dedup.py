@@ -6,15 +6,17 @@
    similarity (locality-sensitive). Texts with equal sets form a class; its least id stands for it from here on.
 2. Bands of registers are hashed; classes that share a band's value are candidates. With 40 bands of 5 a pair at
    similarity 0.8 is missed with a probability of 1.2e-7, one above with less.
-3. The connected components of the candidates are cut into chunks of bounded size. Within a chunk, registers give
-   the joint likelihood of the similarity (the sets' sizes are known); a pair for which every similarity from the
-   threshold on is e^18 times less likely than the best is set aside, as is a pair already connected. All others
-   are verified on their full sets. Chunks of one component also hold its least member as a common pivot; members
-   that it doesn't reach are then compared with all chunks of their component.
-4. Components of the verified links give each document's least reachable id.
-
-No pair is made within a class, no task holds more than a chunk or two, and what is sent is a sketch for
-each document plus the sets of candidates.
+3. In each bucket the class that meets most others over all its bands is the hub, and every other member is compared with
+   it. The registers of a pair give the joint likelihood of its similarity (the sets' sizes are known); a pair for
+   which every similarity from the threshold on is e^18 times less likely than the best is set aside. All others are
+   verified on their full sets.
+4. Buckets whose members the verified links don't yet connect hold pairs that no hub has seen. Of these, pairs of
+   different components are compared by their registers in tiles of bounded size, and what is plausible is verified.
+5. Components of the verified links give each document's least reachable id.
+
+Nothing is closed transitively before it is verified, so chance collisions don't grow into one cluster. No pair is made
+within a class, a hub with a third of all rows is verified by many tasks of a chunk each, and what is sent is a
+sketch for each document plus the sets of candidates.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlight.llm.common import HashCache, Union, arrow_out, bloom_filter, bloom_has, grouped_arrow, shingle_set, space_words
+from arborlight.llm.common import HashCache, arrow_out, bloom_filter, bloom_has, grouped_arrow, shingle_set, space_words
 from arborlight.plans.components import connected_components, splittable
 from arborlight.plans.durable import Scratch
 
@@ -78,56 +80,102 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> float:
     return float(grid[np.argmax(log_likelihood((a > b).sum(), (a < b).sum(), (a == b).sum(), n_a, n_b, grid))])
 
 
-def plausible(a: np.ndarray, others: np.ndarray, n_a: int, n_others: np.ndarray, threshold: float, slack: float = 18.0) -> np.ndarray:
-    """Which of the others may reach the threshold with a: size ratio, and likelihood at or over the threshold."""
-    top = np.minimum(n_a / n_others, n_others / n_a)
-    greater, less = (a > others).sum(axis=1)[:, None], (a < others).sum(axis=1)[:, None]
-    equal = len(a) - greater - less
+def plausible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float, slack: float = 18.0) -> np.ndarray:
+    """Which rows of registers a, b may reach the threshold together: size ratio, and likelihood at or over the threshold."""
+    n_a, n_b = n_a.astype(float), n_b.astype(float)
+    top = np.minimum(n_a / n_b, n_b / n_a)
+    greater, less = (a > b).sum(axis=1)[:, None], (a < b).sum(axis=1)[:, None]
+    equal = a.shape[1] - greater - less
     steps = np.linspace(0, 1, 41)[None, :]
-    n_v = n_others[:, None].astype(float)
-    best = log_likelihood(greater, less, equal, n_a, n_v, steps * top[:, None]).max(axis=1)
-    high = log_likelihood(greater, less, equal, n_a, n_v, threshold + steps * np.maximum(top - threshold, 0)[:, None]).max(axis=1)
+    of = lambda j: log_likelihood(greater, less, equal, n_a[:, None], n_b[:, None], j).max(axis=1)
+    best, high = of(steps * top[:, None]), of(threshold + steps * np.maximum(top - threshold, 0)[:, None])
     return (top >= threshold - 1e-12) & (high >= best - slack)
 
 
+def _regs(column) -> np.ndarray:
+    return np.stack([np.frombuffer(x.as_buffer(), np.uint16) for x in column])
+
+
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(a) + len(b)
     shared = both - len(np.union1d(a, b))
     return 100 * shared >= percent * (both - shared)
 
 
-def verify_groups(groups, schema: pa.Schema, m: int, seed: int, percent: int):
-    """Links that connect what is linked within each group: a spanning forest of its verified pairs.
+def _plausible_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): keys of the pairs (x, y) of class numbers that their registers let pass."""
+    named = lambda n: classes.select(F.concat(F.col("num").cast("string"), F.lit("")).alias(f"_{n}"), *[F.col(c).alias(f"{n}_{c}") for c in ("set_key", "n", "regs")])
+    met = pairs.join(named("x"), splittable("x") == F.col("_x")).join(named("y"), splittable("y") == F.col("_y"))
+
+    def check(batches):
+        for t in batches:
+            for s in range(0, t.num_rows, 2000):
+                b = t.slice(s, 2000)
+                ok = plausible(_regs(b.column("x_regs")), _regs(b.column("y_regs")), b.column("x_n").to_numpy(), b.column("y_n").to_numpy(), percent / 100)
+                yield pa.RecordBatch.from_arrays([b.column("x_set_key"), b.column("y_set_key")], ["a", "b"]).filter(pa.array(ok))
+
+    return met.select("x_set_key", "y_set_key", "x_n", "y_n", "x_regs", "y_regs").mapInArrow(check, "a string, b string")
 
-    side 0: members, compared with all; side 1: members, compared with side 0 alone; root: what is known to be connected.
+
+def _verified(pairs: DataFrame, pool: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets of the pool (key, shingles) reach the threshold; pairs of one b go by chunks, with b's set once in each."""
+    loads = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts"))
+    dealt = pairs.join(loads.select(F.concat("b", F.lit("")).alias("_b"), "parts"), splittable("b") == F.col("_b")).select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+    sets = pool.select(F.concat("key", F.lit("")).alias("_k"), "shingles")
+    members = dealt.join(sets, splittable("a") == F.col("_k")).select("b", "part", F.col("a").alias("key"), "shingles")
+    hubs = loads.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(sets, splittable("b") == F.col("_k")).select("b", "part", F.lit(None).cast("string").alias("key"), "shingles")
+    schema = pa.schema([("a", pa.string()), ("b", pa.string())])
+
+    def check(groups):
+        out: tuple[list, list] = ([], [])
+        for t in groups:
+            keys, sets = t.column("key").to_pylist(), [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
+            hub = sets[keys.index(None)]
+            near = [k for k, x in zip(keys, sets, strict=True) if k is not None and _linked(hub, x, percent)]
+            out[0].extend(near)
+            out[1].extend([t.column("b")[0].as_py()] * len(near))
+            if len(out[0]) > 10_000:
+                yield arrow_out(schema, {"a": out[0], "b": out[1]})
+                out = ([], [])
+        yield arrow_out(schema, {"a": out[0], "b": out[1]})
+
+    return grouped_arrow(members.unionByName(hubs), ["b", "part"], check, "a string, b string")
+
+
+def _open_pairs(open_: DataFrame, classes: DataFrame, percent: int, tile: int) -> DataFrame:
+    """(a, b): plausible pairs of different roots in buckets open_(band, num, root).
+
+    A bucket's most frequent root is its main one; the other rows are compared with all, in tiles of at most two times ``tile`` rows.
     """
-    mul, add = _seeds(m, seed)
-    out_a: list[str] = []
-    out_b: list[str] = []
-    for t in groups:
-        ids, side, root = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "side", "root"))
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
-        order = np.lexsort((ids, side))
-        uf, sizes = Union(len(order)), np.array([len(sets[i]) for i in order])
-        by_root: dict[str, int] = {}
-        for i, o in enumerate(order):
-            uf.join(by_root.setdefault(root[o], i), i)
-        sketches = np.stack([registers(sets[o], mul, add) for o in order])
-        for i in range(1, len(order)):
-            last = i if side[order[i]] == 0 else int((side == 0).sum())
-            mine = uf.find(i)
-            js = np.array([j for j in range(last) if uf.find(j) != mine], int)
-            if not len(js):
-                continue
-            for j in js[plausible(sketches[i], sketches[js], int(sizes[i]), sizes[js], percent / 100)]:
-                if uf.find(j) != uf.find(i) and _linked(sets[order[i]], sets[order[j]], percent):
-                    uf.join(i, int(j))
-                    out_a.append(ids[order[i]])
-                    out_b.append(ids[order[j]])
-        if len(out_a) > 10_000:
-            yield arrow_out(schema, {"a": out_a, "b": out_b})
-            out_a, out_b = [], []
-    yield arrow_out(schema, {"a": out_a, "b": out_b})
+    roots = open_.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
+    sizes = roots.groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
+    sizes = sizes.where("all > most").select(F.concat(F.col("band").cast("string"), F.lit("")).alias("_b"), "main", F.ceil(F.col("all") / tile).cast("int").alias("p"), F.ceil((F.col("all") - F.col("most")) / tile).cast("int").alias("q"))
+    regs = classes.select(F.concat(F.col("num").cast("string"), F.lit("")).alias("_n"), "set_key", "n", "regs")
+    rows = open_.join(sizes, splittable("band") == F.col("_b")).join(regs, splittable("num") == F.col("_n"))
+    rows = rows.select("band", "root", "set_key", "n", "regs", (F.col("root") != F.col("main")).alias("other"), "p", "q", F.pmod(F.xxhash64("set_key"), F.col("p")).cast("int").alias("y"), F.pmod(F.xxhash64("set_key", F.lit(1)), F.col("q")).cast("int").alias("x"))
+    left = rows.where("other").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).select("band", "x", "y", F.lit(0).alias("side"), "root", "set_key", "n", "regs")
+    right = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("q") - 1))).select("band", "x", "y", F.lit(1).alias("side"), "root", "set_key", "n", "regs")
+    schema = pa.schema([("a", pa.string()), ("b", pa.string())])
+
+    def compare(groups):
+        for t in groups:
+            side, n = t.column("side").to_numpy(), t.column("n").to_numpy()
+            regs, keys, root = _regs(t.column("regs")), np.array(t.column("set_key").to_pylist()), np.array(t.column("root").to_pylist())
+            right = np.flatnonzero(side == 1)
+            a, b = [], []
+            for i in np.flatnonzero(side == 0):
+                js = right[root[right] != root[i]]
+                if len(js):
+                    js = js[plausible(np.broadcast_to(regs[i], regs[js].shape), regs[js], np.full(len(js), n[i]), n[js], percent / 100)]
+                a += [max(keys[i], k) for k in keys[js]]
+                b += [min(keys[i], k) for k in keys[js]]
+                if len(a) > 10_000:
+                    yield arrow_out(schema, {"a": a, "b": b})
+                    a, b = [], []
+            if a:
+                yield arrow_out(schema, {"a": a, "b": b})
+
+    return grouped_arrow(left.unionByName(right), ["band", "x", "y"], compare, "a string, b string").distinct()
 
 
 def near_duplicates(
@@ -144,7 +192,7 @@ def near_duplicates(
     spark = docs.sparkSession
     scratch = Scratch(spark, name)
     m = bands * rows
-    base_schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.string()), ("bands", pa.list_(pa.int64()))])
+    base_schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.string()), ("bands", pa.list_(pa.int64())), ("regs", pa.binary())])
 
     def sketch(batches):
         mul, add = _seeds(m, seed)
@@ -153,35 +201,41 @@ def near_duplicates(
         salt = np.arange(1, bands + 1, dtype=np.uint64) << np.uint64(52)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            n, keys, band = [], [], []
+            n, keys, band, regs = [], [], [], []
             for i, x in zip(ids, batch.column(1), strict=True):
                 s = shingle_set(space_words(x.as_py()), shingle, cache)
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else f"none-{i}")
                 if len(s):
-                    r = registers(s, mul, add).reshape(bands, rows).astype(np.uint64) + np.uint64(1)
+                    r = registers(s, mul, add)
+                    regs.append(r.tobytes())
+                    r = r.reshape(bands, rows).astype(np.uint64) + np.uint64(1)
                     h = (r * turn).sum(axis=1, dtype=np.uint64)
                     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + salt
                     band.append((h ^ (h >> np.uint64(32))).view(np.int64))
                 else:
                     band.append(None)
-            yield arrow_out(base_schema, {"id": ids, "n_shingles": n, "set_key": keys, "bands": band})
+                    regs.append(None)
+            yield arrow_out(base_schema, {"id": ids, "n_shingles": n, "set_key": keys, "bands": band, "regs": regs})
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = scratch.save(source.mapInArrow(sketch, "id long, n_shingles long, set_key string, bands array<long>"))
-    classes = scratch.save(base.groupBy("set_key").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n"), F.any_value("bands").alias("bands")).where("rep is not null"))
-
-    # Candidates go by a hash of the set's key: if two keys ever share one, a cluster grows, and no link changes.
-    banded = classes.where("n > 0").select(F.xxhash64("set_key").alias("num"), F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("num").alias("hub"), F.max("num").alias("far")).where("hub <> far")
-    stars = banded.join(shared.select(F.concat(F.col("band").cast("string"), F.lit("")).alias("_k"), "hub"), splittable("band") == F.col("_k"))
-    clusters = connected_components(stars.where("num <> hub").select("num", "hub"), scratch, "num", "hub")
-    numbered = classes.where("n > 0").select("set_key", "rep", F.xxhash64("set_key").alias("num"))
-    member = scratch.save(numbered.join(clusters, F.col("num") == F.col("id")).select("set_key", "rep", F.col("component").alias("cluster")))
-    if member.isEmpty():
+    base = scratch.save(source.mapInArrow(sketch, "id long, n_shingles long, set_key string, bands array<long>, regs binary"))
+    classes = base.groupBy("set_key").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("regs").alias("regs"))
+    classes = scratch.save(classes.where("rep is not null").withColumn("num", F.xxhash64("set_key")))
+
+    # Buckets go by a hash of the set's key: should two keys ever share one, both are candidates, and no link changes.
+    banded = classes.where("n > 0").select("num", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("num").alias("least"), F.max("num").alias("most"), F.count(F.lit(1)).alias("size")).where("least <> most")
+    met = scratch.save(banded.join(shared.select(F.concat(F.col("band").cast("string"), F.lit("")).alias("_k"), "size"), splittable("band") == F.col("_k")).select("band", "num", "size"))
+    if met.isEmpty():
         return _result(base, classes, spark.createDataFrame([], "id string, component string"), id_col)
+    weight = met.groupBy("num").agg(F.sum("size").alias("weight"))
+    hub = met.join(weight, "num").groupBy("band").agg(F.max_by("num", F.struct("weight", "num")).alias("hub"))
+    stars = met.join(hub.select(F.concat(F.col("band").cast("string"), F.lit("")).alias("_k"), "hub"), splittable("band") == F.col("_k")).select("band", "num", "hub")
+    stars = scratch.save(stars.where("num <> hub"))
+    member = scratch.save(classes.join(weight.select("num"), "num", "left_semi").select("num", "set_key", "rep", "n", "regs"))
 
-    bits = bloom_filter(member, "rep")
+    bits = bloom_filter(member, "rep", bits=1 << min(28, max(16, (12 * member.count()).bit_length())))
     wanted = bloom_has(source.where("id is not null"), "id", bits)
     set_schema = pa.schema([("key", pa.string()), ("shingles", pa.binary())])
 
@@ -192,37 +246,23 @@ def near_duplicates(
             found = [s for s in found if len(s)]
             yield arrow_out(set_schema, {"key": [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in found], "shingles": [s.tobytes() for s in found]})
 
-    payload = wanted.mapInArrow(sets, "key string, shingles binary")
-    sizes = member.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"), F.min("set_key").alias("pivot"))
-    placed = member.join(sizes.select(F.concat(F.col("cluster").cast("string"), F.lit("")).alias("_k"), "chunks", "pivot"), splittable("cluster") == F.col("_k")).drop("_k")
-    whole = placed.join(payload.groupBy("key").agg(F.any_value("shingles").alias("shingles")), F.col("set_key") == F.col("key"))
-    whole = scratch.save(whole.select("cluster", F.col("set_key").alias("rep"), "chunks", "pivot", "shingles").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks")).cast("int")))
-    keys = ["cluster", "x", "y"]
-    link_schema = pa.schema([("a", pa.string()), ("b", pa.string())])
-
-    def check(groups):
-        return verify_groups(groups, link_schema, m, seed, percent)
-
-    own = whole.select("cluster", F.lit(0).alias("x"), F.col("chunk").alias("y"), "rep", F.lit(0).alias("side"), F.col("rep").alias("root"), "shingles")
-    pivots = whole.where("rep = pivot and chunks > 1").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("y <> chunk")
-    pivots = pivots.select("cluster", F.lit(0).alias("x"), "y", "rep", F.lit(0).alias("side"), F.col("rep").alias("root"), "shingles")
-    found = scratch.save(grouped_arrow(own.unionByName(pivots), keys, check, "a string, b string"))
-
-    if not whole.where("chunks > 1").isEmpty():
-        comps = connected_components(found, scratch)
-        rooted = whole.where("chunks > 1").join(comps, F.col("rep") == F.col("id"), "left").select("*", F.coalesce("component", "rep").alias("root"))
-        pivot_root = rooted.where("rep = pivot").select(F.concat(F.col("cluster").cast("string"), F.lit("")).alias("_k"), F.col("root").alias("main"))
-        rooted = scratch.save(rooted.join(pivot_root, splittable("cluster") == F.col("_k")).drop("_k", "id", "component"))
-        loose = rooted.where("root <> main")
-        if not loose.isEmpty():
-            lone = loose.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("y <> chunk")
-            lone = lone.select("cluster", F.col("chunk").alias("x"), "y", "rep", F.lit(0).alias("side"), "root", "shingles")
-            apart = loose.select(F.concat(F.col("cluster").cast("string"), F.lit("")).alias("_k"), F.col("chunk").alias("x")).distinct()
-            others = rooted.join(apart, splittable("cluster") == F.col("_k")).where("x <> chunk")
-            others = others.select("cluster", "x", F.col("chunk").alias("y"), "rep", F.lit(1).alias("side"), "root", "shingles")
-            found = scratch.save(found.unionByName(grouped_arrow(lone.unionByName(others), keys, check, "a string, b string")))
-
-    return _result(base, classes, connected_components(found, scratch), id_col)
+    payload = wanted.mapInArrow(sets, "key string, shingles binary").join(member.select(F.col("set_key").alias("key")), "key", "left_semi")
+    pool = scratch.save(payload.groupBy("key").agg(F.any_value("shingles").alias("shingles")))
+    pairs = scratch.save(_plausible_pairs(stars.select(F.col("num").alias("x"), F.col("hub").alias("y")).distinct(), member, percent))
+    found = scratch.save(_verified(pairs, pool, percent, chunk))
+    comps = connected_components(found, scratch)
+
+    # what no hub has seen: pairs of different components in buckets that the links leave apart
+    root = member.join(comps, F.col("set_key") == F.col("id"), "left").select(F.concat(F.col("num").cast("string"), F.lit("")).alias("_n"), F.coalesce("component", "set_key").alias("root"))
+    rooted = stars.join(root, splittable("num") == F.col("_n")).select("band", "num", "root")
+    apart = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.concat(F.col("band").cast("string"), F.lit("")).alias("_k"))
+    open_ = scratch.save(rooted.join(apart, splittable("band") == F.col("_k")).select("band", "num", "root"))
+    if open_.isEmpty():
+        return _result(base, classes, comps, id_col)
+    more = scratch.save(_verified(scratch.save(_open_pairs(open_, member, percent, 2 * chunk)), pool, percent, chunk))
+    if not more.isEmpty():
+        comps = connected_components(found.unionByName(more), scratch)
+    return _result(base, classes, comps, id_col)
 
 
 def _result(base: DataFrame, classes: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
