@@ -2,30 +2,29 @@
 
 Unit vectors a, b have cosine >= c iff |a - b|^2 <= 2 - 2c. After a rotation the coordinates are cut into blocks; each
 block gets a share of the squared distance in proportion to its dimensions. If all blocks of a pair exceeded their
-share, so would the sum: each pair within the limit is within the share of at least one block. So each block is
-range-joined for itself (a grid over its first coordinates; a vector visits the cells that its radius touches), and
-the union of the candidates is verified by the cosine in double precision.
-
-Equal vectors form a class that is joined once. A cell with many rows is dealt out in chunks, and the pairs of chunks
-are joined by tasks of bounded size. A pair is kept by the first block that admits it, so links are counted without
-gathering pairs; a task returns counts and a spanning forest of its links.
+share, so would the sum: each pair within the limit is within the share of at least one block. Each block is
+range-joined for itself, and the union of the candidates is verified by the cosine in double precision.
+
+Equal vectors form a class that is joined once. The vectors of one label are dealt out in chunks, and each pair of chunks is
+one task of bounded size, in which all blocks are joined: a vector is sent once for each chunk of its label, and each pair
+of different vectors is met in one task only. (Grids over a block's coordinates were measured and given up: at a cosine
+of 0.93 a block's radius exceeds the spread of its coordinates, so that cells prune nothing, and every block sends all
+vectors again.) A task returns counts of links and a spanning forest of them; pairs are not gathered.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import FloatType
 
 from arborlight.llm.common import Union, arrow_out, grouped_arrow
 from arborlight.plans.components import connected_components, splittable
 from arborlight.plans.durable import Scratch
 
-_EPS = 1e-6
+#: Above the rounding of single precision.
+_EPS = 1e-5
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -40,57 +39,41 @@ def blocks(dim: int, width: int) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
-def cell_rows(x: np.ndarray, width: int, limit: float, seed: int, grid: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each block (number, index of the vector, cell code, home?): home cells, and greater cells that the radius touches."""
-    rot = x @ rotation(x.shape[1], seed)
-    out = []
-    for b, (s, e) in enumerate(blocks(x.shape[1], width)):
-        radius = math.sqrt(limit * (e - s) / x.shape[1] + 1e-9) + _EPS
-        side, g = 2 * radius, min(grid, e - s)
-        low = np.floor((rot[:, s : s + g] - radius) / side).astype(np.int64)
-        high = np.floor((rot[:, s : s + g] + radius) / side).astype(np.int64)
-        home = np.floor(rot[:, s : s + g] / side).astype(np.int64)
-        code = lambda c: sum((c[:, i] + (1 << 19)) << (20 * i) for i in range(g))
-        own = code(home)
-        idx, cells, at_home = [np.arange(len(x))], [own], [np.ones(len(x), bool)]
-        for corner in range(1 << g):
-            c = np.stack([np.where(corner >> i & 1, high[:, i], low[:, i]) for i in range(g)], axis=1)
-            k, new = code(c), np.ones(len(x), bool)
-            for i in range(g):  # a corner that equals another is taken once: by its low form
-                new &= ~((high[:, i] == low[:, i]) & bool(corner >> i & 1))
-            new &= k > own
-            idx.append(np.flatnonzero(new))
-            cells.append(k[new])
-            at_home.append(np.zeros(new.sum(), bool))
-        out.append((b, np.concatenate(idx), np.concatenate(cells), np.concatenate(at_home)))
-    return out
-
-
-def _pairs(ux: np.ndarray, uy: np.ndarray, rx: np.ndarray, ry: np.ndarray, same: bool, block: int, spans: list, limit: float, cosine: float):
-    """Index pairs that this block owns and whose cosine reaches the threshold."""
-    s, e = spans[block]
-    dim = rx.shape[1]
-    for i in range(0, len(rx), 512):
-        p = rx[i : i + 512, s:e]
-        d = (p**2).sum(1)[:, None] + (ry[:, s:e] ** 2).sum(1)[None, :] - 2 * p @ ry[:, s:e].T
-        near = d <= limit * (e - s) / dim + _EPS
+def candidates(p: np.ndarray, q: np.ndarray, spans: list[tuple[int, int]], limit: float) -> np.ndarray:
+    """Whether each row of p and row of q (rotated unit vectors, single precision) are within the share of at least one block."""
+    near = np.zeros((len(p), len(q)), bool)
+    for s, e in spans:
+        a, b = p[:, s:e], q[:, s:e]
+        d = a @ b.T
+        d *= -2
+        d += (a**2).sum(1)[:, None]
+        d += (b**2).sum(1)[None, :]
+        near |= d <= np.float32(limit * (e - s) / p.shape[1] + _EPS)
+    return near
+
+
+def _pairs(ux: np.ndarray, uy: np.ndarray, rx: np.ndarray, ry: np.ndarray, same: bool, spans: list, limit: float, cosine: float, step: int = 256):
+    """Index pairs whose cosine reaches the threshold; of one and the same chunk each pair once."""
+    for i in range(0, len(rx), step):
+        j = i if same else 0
+        a_all, b_all = np.nonzero(candidates(rx[i : i + step], ry[j:], spans, limit))
+        a_all, b_all = a_all + i, b_all + j
         if same:
-            near &= np.arange(len(ry))[None, :] > np.arange(i, i + len(p))[:, None]
-        a_all, b_all = np.nonzero(near)
+            a_all, b_all = a_all[b_all > a_all], b_all[b_all > a_all]
         for k in range(0, len(a_all), 50_000):
-            a, b = a_all[k : k + 50_000] + i, b_all[k : k + 50_000]
-            owned = np.ones(len(a), bool)
-            for n, (t, f) in enumerate(spans[: block + 1]):
-                inside = ((rx[a, t:f] - ry[b, t:f]) ** 2).sum(1) <= limit * (f - t) / dim + 1e-9
-                owned &= inside if n == block else ~inside
-            a, b = a[owned], b[owned]
+            a, b = a_all[k : k + 50_000], b_all[k : k + 50_000]
             cos = (ux[a] * uy[b]).sum(1) / np.sqrt((ux[a] ** 2).sum(1) * (uy[b] ** 2).sum(1))
             yield a[cos >= cosine], b[cos >= cosine]
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    unit = x / np.abs(x).max(axis=1, keepdims=True)
+    return unit / np.sqrt((unit**2).sum(1, keepdims=True))
+
+
 def embedding_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label",
-    cosine: float = 0.93, width: int = 8, grid: int = 2, chunk: int = 1024, seed: int = 11,
+    cosine: float = 0.93, width: int = 8, chunk: int = 8192, seed: int = 11,
 ) -> DataFrame:
     """One row per input row: id, n_links (other rows within the cosine, same label), component_id, kept.
 
@@ -104,64 +87,33 @@ def embedding_duplicates(
     limit = 2 - 2 * cosine + 1e-9
     label = F.col(label_col).cast("string") if label_col else F.lit("")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vec_col).alias("vec"))
-    # single-precision input is sent as it is and widened where it is compared: the same numbers at half the size
-    wire = np.float32 if rows.schema["vec"].dataType.elementType == FloatType() else np.float64
     bad = F.expr("vec is null or label is null or size(vec) = 0 or exists(vec, x -> x is null or isnan(x) or abs(x) = double('Infinity')) or forall(vec, x -> x = 0)")
     rows = rows.withColumn("cls", F.when(~bad, F.sha2(F.concat_ws(":", F.length("label"), "label", F.col("vec").cast("string")), 256)))
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.any_value("label").alias("label"), F.any_value("vec").alias("vec"))
     classes = scratch.save(classes)
-    cell_schema = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("block", pa.int32()), ("cell", pa.int64()), ("home", pa.bool_()), ("cls", pa.string()), ("n", pa.int64()), ("v", pa.binary())])
-
-    def deal(batches):
-        for batch in batches:
-            by_dim: dict[int, list[int]] = {}
-            vecs = [np.array(v.as_py(), np.float64) for v in batch.column("vec")]
-            for i, v in enumerate(vecs):
-                by_dim.setdefault(len(v), []).append(i)
-            lab, cls, n = (batch.column(c).to_pylist() for c in ("label", "cls", "n"))
-            for dim, members in by_dim.items():
-                raw = np.stack([vecs[i] for i in members])
-                unit = raw / np.abs(raw).max(axis=1, keepdims=True)
-                unit /= np.sqrt((unit**2).sum(1, keepdims=True))
-                for b, idx, cells, home in cell_rows(unit, width, limit, seed, grid):
-                    for s in range(0, len(idx), 20_000):
-                        part = [members[i] for i in idx[s : s + 20_000]]
-                        yield arrow_out(cell_schema, {
-                            "label": [lab[i] for i in part], "dim": [dim] * len(part), "block": [b] * len(part), "cell": cells[s : s + 20_000],
-                            "home": home[s : s + 20_000], "cls": [cls[i] for i in part], "n": [n[i] for i in part], "v": [vecs[i].astype(wire).tobytes() for i in part]})
-
-    dealt = classes.select("label", "cls", "n", "vec").mapInArrow(deal, "label string, dim int, block int, cell long, home boolean, cls string, n long, v binary")
-    keys = ["label", "dim", "block", "cell"]
-    dealt = scratch.save(dealt.withColumn("key", F.concat_ws("/", F.length("label"), *keys)))
-    sizes = dealt.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("p")).where("p > 1")
-    cut = dealt.join(sizes.select(F.concat("key", F.lit("")).alias("_k"), "p"), splittable("key") == F.col("_k"), "left").withColumn("p", F.coalesce("p", F.lit(1)))
+    keyed = classes.withColumn("key", F.concat_ws("/", F.length("label"), "label", F.size("vec")))
+    sizes = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("p")).where("p > 1")
+    cut = keyed.join(sizes.select(F.concat("key", F.lit("")).alias("_k"), "p"), splittable("key") == F.col("_k"), "left").withColumn("p", F.coalesce("p", F.lit(1)))
     cut = cut.withColumn("c", F.pmod(F.xxhash64("cls"), F.col("p")).cast("int"))
-    cut = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "block", "home", "cls", "n", "v")
+    cut = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "cls", "n", "vec")
     link_schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("w", pa.int64())])
 
     def join(groups):
         for t in groups:
             if t.num_rows < 2:
                 continue
-            x = np.stack([np.frombuffer(v.as_buffer(), wire) for v in t.column("v")]).astype(np.float64)
-            cls, n = t.column("cls").to_pylist(), t.column("n").to_numpy()
-            home, c = t.column("home").to_numpy(), t.column("c").to_numpy()
-            unit = x / np.abs(x).max(axis=1, keepdims=True)
-            unit /= np.sqrt((unit**2).sum(1, keepdims=True))
-            rot, block = unit @ rotation(x.shape[1], seed), t.column("block")[0].as_py()
-            spans = blocks(x.shape[1], width)
+            x = t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
+            cls, n, c = t.column("cls").to_pylist(), t.column("n").to_numpy(), t.column("c").to_numpy()
+            unit = _unit(x)
+            rot, spans = (unit @ rotation(x.shape[1], seed)).astype(np.float32), blocks(x.shape[1], width)
             i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-            at = lambda k, h: np.flatnonzero((c == k) & (home == h))
-            work = [(at(i, True), at(i, True), True), (at(i, True), at(i, False), False)] if i == j else [(at(i, True), at(j, True), False), (at(i, True), at(j, False), False), (at(j, True), at(i, False), False)]
+            p, q = np.flatnonzero(c == i), np.flatnonzero(c == j)
             uf, weight, edges = Union(t.num_rows), np.zeros(t.num_rows, np.int64), []
-            for p, q, same in work:
-                if not len(p) or not len(q):
-                    continue
-                for a, b in _pairs(unit[p], unit[q], rot[p], rot[q], same, block, spans, limit, cosine):
-                    a, b = p[a], q[b]
-                    np.add.at(weight, a, n[b])
-                    np.add.at(weight, b, n[a])
-                    edges += [(u, v) for u, v in zip(a.tolist(), b.tolist(), strict=True) if uf.join(u, v)]
+            for a, b in _pairs(unit[p], unit[q], rot[p], rot[q], i == j, spans, limit, cosine):
+                a, b = p[a], q[b]
+                np.add.at(weight, a, n[b])
+                np.add.at(weight, b, n[a])
+                edges += [(u, v) for u, v in zip(a.tolist(), b.tolist(), strict=True) if uf.join(u, v)]
             seen = np.flatnonzero(weight)
             if len(seen):
                 yield arrow_out(link_schema, {
