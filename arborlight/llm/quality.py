@@ -8,11 +8,14 @@ step that would make the negatives' part negative (the sign of overfitting) is h
 same data: positives fill no more of any region than the text as a whole, so it is at most P_u(A) / P_p(A) for each
 region A; the least ratio over the upper sets of a first score is taken.
 
-Features come from whole texts; each Newton step sums gradient and Hessian where the features are.
+Features come from whole texts: shares of characters of each kind, of words and lines with some property, and hashed words
+and character trigrams. Each Newton step sums gradient and Hessian where the features are.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,38 +24,63 @@ from pyspark.sql import functions as F
 from arborlight.llm.common import LOWER
 from arborlight.plans.durable import Scratch
 
-_SYMBOLS = b"%&*$#!|@<>=+_~^{}[]\\/"
-_GROUPS = [bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b".,;:", b"'\"()-?", b"\n", bytes(range(128, 256)), *[bytes([c]) for c in _SYMBOLS]]
-_MAP = np.full(256, len(_GROUPS))
+#: Kinds of bytes: capitals, small letters, digits, line ends, other controls and white space, bytes of non-ASCII characters, each ASCII mark.
+_GROUPS = [bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b"\n", bytes(i for i in [*range(33), 127] if i != 10), bytes(range(128, 256))]
+_GROUPS += [bytes([i]) for i in range(33, 127) if not chr(i).isalnum()]
+_MAP = np.zeros(256, np.intp)
 for _i, _g in enumerate(_GROUPS):
     _MAP[list(_g)] = _i
+_MARKS = set(bytes(i for i in range(33, 127) if not chr(i).isalnum()))
+#: Buckets for hashed words and for hashed character trigrams.
+HASHED = 32
+
+
+class _WordBucket(dict):
+    """Hash bucket of a word; forgets all when it holds too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        b = self[word] = zlib.crc32(word) % HASHED
+        return b
+
+
+_BUCKET = _WordBucket()
+
+
+def _steps(x: float, edges: tuple[float, ...]) -> list[float]:
+    """One for each edge that x reaches: a curve of steps for a linear score."""
+    return [float(x >= e) for e in edges]
 
 
 def features(text: str | None) -> np.ndarray:
-    """Shares of characters, words and lines of the whole text, all between 0 and about 1; the last is the constant."""
+    """Shares of characters, words, lines and n-grams of the whole text, all between 0 and about 1; the last but one tells empty texts, the last is the constant."""
     data = (text or "").encode("utf-8", "surrogatepass")
     n = len(data)
     if not n:
         return np.concatenate([np.zeros(SIZE - 2), [1.0, 1.0]]).astype(np.float32)
-    by_byte = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
-    shares = np.bincount(_MAP, weights=by_byte, minlength=len(_GROUPS) + 1)[: len(_GROUPS)] / n
+    raw = np.frombuffer(data, np.uint8)
+    shares = np.bincount(_MAP, weights=np.bincount(raw, minlength=256), minlength=len(_GROUPS)) / n
     words = data.split()
     lines = [x for x in data.split(b"\n") if x]
     m = max(1, len(words))
-    twice = sum(map(len, lines)) - sum(map(len, set(lines)))
-    marks = shares[7:]
+    twice = (sum(map(len, lines)) - sum(map(len, set(lines)))) / n
+    small = data.translate(LOWER)
+    distinct = len(set(small.split())) / m
     capitals = sum(w.isupper() and len(w) > 1 for w in words) / m
-    ends = sum(w[-1] in b"%&*$#!|" for w in words) / m
-    distinct = len(set(data.translate(LOWER).split())) / m
-    length = n / m
+    ends = sum(w[-1] in _MARKS for w in words) / m
     extra = [
-        capitals, capitals > 0.02, ends, ends > 0.02, twice / n, twice > 0, distinct, distinct < 0.3, min(1, length / 20), length > 9,
-        np.log1p(m) / 10, m < 20, m < 5, np.sqrt(marks.sum()), marks.sum() > 0.005, marks.sum() > 0.03, np.sqrt(shares[2]), shares[2] > 0.02, len(lines) / m, 0.0, 1.0,
+        np.sqrt(capitals), np.sqrt(ends), np.sqrt(twice), distinct, min(1, n / m / 20), np.log1p(m) / 10, len(lines) / m, np.sqrt(shares[6:].sum()),
+        *_steps(capitals, (0.01, 0.1)), *_steps(twice, (0.01, 0.1, 0.3)), *_steps(distinct, (0.25, 0.5, 0.75)), *_steps(n / m, (5, 8, 12)), *_steps(m, (5, 20, 80, 320)), *_steps(shares[6:].sum(), (0.02, 0.05, 0.1)),
     ]
-    return np.concatenate([np.sqrt(shares), marks > 0.002, np.asarray(extra, float)]).astype(np.float32)
+    by_word = np.bincount([_BUCKET[w] for w in small.split()], minlength=HASHED) / m
+    codes = np.frombuffer(small, np.uint8).astype(np.uint32)
+    grams = (codes[:-2] * np.uint32(0x9E3779B1) ^ codes[1:-1] * np.uint32(0x85EBCA77) ^ codes[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(27)
+    by_gram = np.bincount(grams, minlength=HASHED) / max(1, n - 2)
+    return np.concatenate([np.sqrt(shares), shares[6:] > 0.002, np.asarray(extra, float), np.sqrt(by_word), np.sqrt(by_gram), [0.0, 1.0]]).astype(np.float32)
 
 
-SIZE = 2 * len(_GROUPS) - 7 + 21
+SIZE = 2 * len(_GROUPS) - 6 + 26 + 2 * HASHED + 2
 
 
 def _softplus(z: np.ndarray) -> np.ndarray:
@@ -82,7 +110,7 @@ def _sums(table: DataFrame, fn, size: int) -> np.ndarray:
     return sum((np.frombuffer(bytes(r.s)) for r in rows), np.zeros(size))
 
 
-def fit(table: DataFrame, prior: float | None = None, l2: float = 1e-4, steps: int = 10, bins: int = 400) -> tuple[np.ndarray, float]:
+def fit(table: DataFrame, prior: float | None = None, l2: float = 1e-4, spread: float = 30.0, steps: int = 10, bins: int = 400) -> tuple[np.ndarray, float]:
     """(weights, prior) of a table (x, positive). Without positives, or rows, the weights are 0."""
     d = SIZE
 
@@ -93,6 +121,7 @@ def fit(table: DataFrame, prior: float | None = None, l2: float = 1e-4, steps: i
     n, n_p = s[0], s[1]
     if n == 0 or n_p == 0:
         return np.zeros(d), prior or 0.5
+    l2 = l2 + spread / n_p  # few positives say little about many features
     mean_p, mean, var = s[2 : 2 + d] / n_p, s[2 + d : 2 + 2 * d] / n, None
     var = np.maximum(s[2 + 2 * d :] / n - mean**2, 0)
     scale = np.where(var > 1e-10, 1 / np.sqrt(np.maximum(var, 1e-10)), 0)
