@@ -8,7 +8,12 @@ stay where they are and are named by their record.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import zlib
+from datetime import datetime
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Headers that a 304 response may update; all others are those of the full response.
@@ -63,3 +68,68 @@ def resolve_revisits(records: DataFrame, stretch: int = 86_400) -> DataFrame:
     mine = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, v: k.isin(*PERMITTED))
     theirs = F.map_filter(F.coalesce("o.headers", F.create_map().cast("map<string,string>")), lambda k, v: ~F.array_contains(F.map_keys(mine), k))
     return found.select("rec_id", "url_key", "ts", F.col("o.rec_id").alias("original_id"), "status", F.when(F.col("status") == "resolved", F.map_concat(theirs, mine)).otherwise(F.col("headers")).alias("headers"))
+
+
+RECORDS = "rec_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>, body_length long"
+
+
+def parse_warc(data: bytes):
+    """Records of an archive file (plain, or gzip members end to end): (id, url, seconds, kind, etag, last_modified, headers, length of the body).
+
+    Only HTTP responses and revisits are given; header names are in lower case, of repeated ones the last counts. A record that
+    is cut off ends the file; bytes that start no record are skipped up to the next one.
+    """
+    if data[:2] == b"\x1f\x8b":
+        parts, rest = [], data
+        while rest[:2] == b"\x1f\x8b":
+            member = zlib.decompressobj(31)
+            try:
+                parts.append(member.decompress(rest))
+            except zlib.error:
+                break
+            rest = member.unused_data
+        data = b"".join(parts)
+    at = data.find(b"WARC/")
+    while at >= 0:
+        head, gap, _ = data[at:].partition(b"\r\n\r\n") if b"\r\n\r\n" in data[at : at + 65536] else (b"", b"", b"")
+        if not gap:
+            return
+        fields = dict(_header_lines(head))
+        length = int(fields["content-length"]) if fields.get("content-length", "").isdigit() else 0
+        start = at + len(head) + 4
+        if start + length > len(data):
+            return
+        kind = fields.get("warc-type")
+        if kind in ("response", "revisit"):
+            status, _, body = data[start : start + length].partition(b"\r\n\r\n")
+            http = dict(_header_lines(status))
+            try:
+                ts = int(datetime.fromisoformat(fields.get("warc-date", "").replace("Z", "+00:00")).timestamp())
+            except ValueError:
+                ts = None
+            number = int.from_bytes(hashlib.blake2b(fields.get("warc-record-id", f"at {at}").encode(), digest_size=8).digest(), "big", signed=True)
+            yield number, fields.get("warc-target-uri", "").strip("<>") or None, ts, kind, http.get("etag"), http.get("last-modified"), http, len(body)
+        at = data.find(b"WARC/", start + length)
+
+
+def _header_lines(block: bytes):
+    for line in block.split(b"\r\n")[1:]:
+        name, colon, value = line.partition(b":")
+        if colon:
+            yield name.strip().decode("utf-8", "replace").lower(), value.strip().decode("utf-8", "replace")
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Responses and revisits of the archive files below a path, as resolve_revisits takes them; each file is parsed by one task, so
+    files should be of the usual size, up to about a gigabyte. Records without a URL or a date come with nulls there."""
+    schema = pa.schema([("rec_id", pa.int64()), ("url", pa.string()), ("ts", pa.int64()), ("kind", pa.string()), ("etag", pa.string()), ("last_modified", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("body_length", pa.int64())])
+
+    def parse(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                rows = list(parse_warc(content.as_py()))
+                columns = [pa.array([list(r[i].items()) if i == 6 else r[i] for r in rows], schema.field(i).type) for i in range(len(schema))]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{warc,warc.gz}").load(path)
+    return files.select("content").mapInArrow(parse, RECORDS)
