@@ -14,8 +14,8 @@ from arborlight.llm.common import SPACE_WORD, bloom_filter, bloom_has
 from arborlight.llm.queries import tokenizer_path
 from arborlight.plans.durable import Scratch
 
-#: A text must owe this share of its languages' hits to one of them.
-LANGUAGE_SHARE = 0.3
+#: A text must owe this share of its most telling n-grams to one language; with fewer its languages contradict each other.
+LANGUAGE_SHARE = 0.25
 ORACLE_SQL = None
 
 
@@ -42,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = scratch.save(found.join(keys, "_row").select("_row", "component_id", "_order"))
     first = found.groupBy("component_id").agg(F.min("_order").alias("_least")).select(F.col("_least._row").alias("_stays"))
     gone = scratch.save(found.join(first, F.col("_row") == F.col("_stays"), "left_anti").select(F.col("_row").alias("gone")))
-    words = bloom_filter(gone, "gone")
+    words = bloom_filter(gone, "gone", bits=1 << min(28, max(16, (12 * gone.count()).bit_length())))
     # only rows that the filter can't clear are joined, so kept texts aren't shuffled
     suspects = bloom_has(docs, "_row", words).join(gone, F.col("_row") == F.col("gone"), "left_anti")
     clear = bloom_has(docs, "_row", words, keep=False)
