@@ -2,7 +2,7 @@
 
 A written table cuts the lineage like a checkpoint, but is computed once, is columnar and compressed,
 and survives the loss of any executor. The folder is ``spark.checkpoint.dir``; only where that is unset
-(tests, a laptop) a temporary folder takes its place.
+(tests, a laptop) a temporary folder takes its place; on a cluster that would lose data, so there it is an error.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="arborlight-")
