@@ -7,8 +7,8 @@ one block of bytes: it is broadcast (its size is bounded by the number of words)
 a file that is unlinked at once. Words that aren't in the lexicon are merged by the exact rules: always the pair of
 the lowest rank, the leftmost first.
 
-No word reaches over white space, so texts are cut there first, and a task remembers what the last distinct pieces came to:
-the automaton is asked, or an unseen word merged, when a task meets a piece for the first time.
+A task remembers what the last distinct words came to, so the automaton is asked, or an unseen word merged, when a task meets
+a word for the first time; words of the lexicon are never forgotten, others all at once when there are too many.
 
 Text is treated as the tokenizer file says: special tokens first, then NFC, white space, lower case (per character),
 the splitting pattern, and UTF-8 bytes as printable characters. Without a decoder in the file, decoding joins the
@@ -21,6 +21,7 @@ import hashlib
 import heapq
 import json
 import mmap
+import re
 import struct
 import tempfile
 import unicodedata
@@ -39,11 +40,11 @@ from arborlight.plans.durable import Scratch
 _WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_WS}\p{{L}}\p{{N}}]+")
 
-_PIECE = regex.compile(f"[^{_WS}]+")
-#: Longer pieces aren't remembered.
+#: Characters below U+0250, but for fractions and raised digits, and common marks: of these no two compose, a letter is what str.isalpha() takes for one.
+_UNPLAIN = re.compile("[\u00b2\u00b3\u00b9\u00bc-\u00be\u0250-\u200f\u2028-\u202f\u205f-\U0010ffff]")
+#: Longer words aren't remembered.
 _LONG = 64
-#: White space to str.split(), but not to the tokenizer.
-_ODD_WS = "\x1c\x1d\x1e\x1f"
+_SPLIT_PLAIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w{_WS}]|_)+")
 
 #: Letters and numbers of a later Unicode version than the tokenizer's: symbols to it. Texts with one are split apart.
 _LATE = (
@@ -151,25 +152,22 @@ class Vocabulary:
         return [p for p in parts if p >= 0]
 
     def segments(self, text: str):
-        """Pieces of a text as lists, and ids of special tokens between them."""
+        """Words of a text as lists, and ids of special tokens between them."""
         if self.splitter is None or "<|" not in text:
-            yield pieces(text)
+            yield words(text)
             return
         at = 0
         for m in self.splitter.finditer(text):
-            yield pieces(text[at : m.start()])
+            yield words(text[at : m.start()])
             yield self.special[m[0]]
             at = m.end()
-        yield pieces(text[at:])
-
-
-def pieces(text: str) -> list[str]:
-    """What stands between white space. NFC composes nothing over white space, so pieces can be treated one by one."""
-    return _PIECE.findall(text) if any(c in text for c in _ODD_WS) else text.split()
+        yield words(text[at:])
 
 
 def words(text: str) -> list[str]:
     """Words of a text without special tokens: NFC, lower case, the splitting pattern."""
+    if text.isascii() or not _UNPLAIN.search(text):
+        return _SPLIT_PLAIN.findall(text.lower())
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
         if _RARE.search(text):
@@ -269,37 +267,41 @@ class Lexicon:
         return self.ids[self.start[number] : self.start[number + 1]].tolist() if self.final[state] else None
 
 
-class _Pieces(dict):
-    """Piece between white space -> (ids, tokens) of its words, each joined by spaces; forgets all when it holds too many."""
+class _Words(dict):
+    """Word -> (its ids, its tokens), each joined by spaces. With more than ``most`` words, all that aren't in the lexicon are forgotten."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, most: int):
         super().__init__()
         self.v, self.lexicon, self.most = vocabulary, lexicon, most
-
-    def __missing__(self, piece: str) -> tuple[str, str]:
-        ids: list[int] = []
-        for word in words(piece):
-            data = word.encode("utf-8", "surrogatepass")
-            ids += self.lexicon.get(data) or self.v.merge(data)
+        self.names = list(map(str, range(len(vocabulary.tokens))))
+        self.frequent: dict[str, tuple[str, str]] = {}
+
+    def __missing__(self, word: str) -> tuple[str, str]:
+        data = word.encode("utf-8", "surrogatepass")
+        known = self.lexicon.get(data)
+        ids = known or self.v.merge(data)
+        out = (" ".join([self.names[i] for i in ids]), " ".join([self.v.tokens[i] for i in ids]))
         if len(self) >= self.most:
             self.clear()
-        out = (" ".join(map(str, ids)), " ".join([self.v.tokens[i] for i in ids]))
-        if len(piece) <= _LONG:
-            self[piece] = out
+            self.update(self.frequent)
+        if known:
+            self.frequent[word] = out
+        if len(word) <= _LONG:
+            self[word] = out
         return out
 
 
 class Codec:
-    """Encodes and decodes whole texts; remembers at most ``most`` pieces that it has seen."""
+    """Encodes and decodes whole texts; remembers at most ``most`` words besides those of the lexicon."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, most: int = 200_000):
-        self.v, self.pieces = vocabulary, _Pieces(vocabulary, lexicon, most)
+        self.v, self.words = vocabulary, _Words(vocabulary, lexicon, most)
 
     def encode(self, text: str | None) -> tuple[str, str]:
         """(ids joined by spaces, decoded text)."""
         ids: list[str] = []
         out: list[str] = []
-        get = self.pieces.__getitem__
+        get = self.words.__getitem__
         for part in self.v.segments(text or ""):
             if isinstance(part, int):
                 ids.append(str(part))
@@ -308,18 +310,17 @@ class Codec:
                 i, o = zip(*map(get, part), strict=True)
                 ids += i
                 out += o
-        # a piece without a token (all of it is dropped) leaves nothing to join
-        return (" ".join(ids), " ".join(out)) if "" not in ids else (" ".join(filter(None, ids)), " ".join(filter(None, out)))
+        return " ".join(ids), " ".join(out)
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.v.tokens[i] for i in ids if 0 <= i < len(self.v.tokens) and self.v.tokens[i]])
 
 
-def frequent_words(docs: DataFrame, scratch: Scratch, spec: dict, text_col: str, most: int, held: int = 200_000) -> list[tuple[bytes, list[int]]]:
+def frequent_words(docs: DataFrame, scratch: Scratch, spec: dict, text_col: str, most: int, held: int = 300_000) -> list[tuple[bytes, list[int]]]:
     """The most frequent words of all texts, with their ids; fewer than ``most``, as counts at the border tie.
 
-    Pieces are counted in tasks, which hold ``held`` distinct ones at most before they hand their words' counts on; then words by
-    the cluster. The least count that enough words have comes from the counts' histogram.
+    Counted in tasks, which hold ``held`` distinct words at most before they hand their counts on; then by the cluster. The least
+    count that enough words have comes from the counts' histogram.
     """
 
     def count(batches):
@@ -327,11 +328,7 @@ def frequent_words(docs: DataFrame, scratch: Scratch, spec: dict, text_col: str,
         seen: Counter[str] = Counter()
 
         def counts():
-            total: dict[str, int] = {}
-            for piece, c in seen.items():
-                for w in words(piece):
-                    if len(w) <= 40 and w.isprintable():  # others are merged as they come
-                        total[w] = total.get(w, 0) + c
+            total = {w: c for w, c in seen.items() if len(w) <= 40 and w.isprintable()}  # others are merged as they come
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
 
