@@ -10,8 +10,10 @@
    it. The registers of a pair give the joint likelihood of its similarity (the sets' sizes are known); a pair for
    which every similarity from the threshold on is e^18 times less likely than the best is set aside. All others are
    verified on their full sets.
-4. Buckets whose members the verified links don't yet connect hold pairs that no hub has seen. Of these, pairs of
-   different components are compared by their registers in tiles of bounded size, and what is plausible is verified.
+4. Buckets whose members the verified links don't yet connect hold pairs that no hub has seen. They are gathered by their
+   main component, so that members meet once and not in each band; those of other components are compared with all, in
+   tiles of bounded size: registers first, then full sets, pairs that the tile has connected no more. A tile returns
+   links that connect, not pairs.
 5. Components of the verified links give each document's least reachable id.
 
 Nothing is closed transitively before it is verified, so chance collisions don't grow into one cluster. No pair is made
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlight.llm.common import HashCache, arrow_out, bloom_filter, bloom_has, grouped_arrow, shingle_set, space_words
+from arborlight.llm.common import HashCache, Union, arrow_out, bloom_filter, bloom_has, grouped_arrow, shingle_set, space_words
 from arborlight.plans.components import connected_components, splittable
 from arborlight.plans.durable import Scratch
 
@@ -142,40 +144,47 @@ def _verified(pairs: DataFrame, pool: DataFrame, percent: int, chunk: int) -> Da
     return grouped_arrow(members.unionByName(hubs), ["b", "part"], check, "a string, b string")
 
 
-def _open_pairs(open_: DataFrame, classes: DataFrame, percent: int, tile: int) -> DataFrame:
-    """(a, b): plausible pairs of different roots in buckets open_(band, num, root).
+def _open_links(open_: DataFrame, classes: DataFrame, pool: DataFrame, percent: int, tile: int) -> DataFrame:
+    """(a, b): links between different roots in the buckets open_(band, num, root), enough to connect what is linked.
 
-    A bucket's most frequent root is its main one; the other rows are compared with all, in tiles of at most two times ``tile`` rows.
+    A bucket's most frequent root is its main one, and buckets of one main root are one group. Its rows of other roots are compared
+    with all of its rows, in tiles of at most two times ``tile`` rows.
     """
     roots = open_.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
-    sizes = roots.groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
-    sizes = sizes.where("all > most").select(F.concat(F.col("band").cast("string"), F.lit("")).alias("_b"), "main", F.ceil(F.col("all") / tile).cast("int").alias("p"), F.ceil((F.col("all") - F.col("most")) / tile).cast("int").alias("q"))
-    regs = classes.select(F.concat(F.col("num").cast("string"), F.lit("")).alias("_n"), "set_key", "n", "regs")
-    rows = open_.join(sizes, splittable("band") == F.col("_b")).join(regs, splittable("num") == F.col("_n"))
-    rows = rows.select("band", "root", "set_key", "n", "regs", (F.col("root") != F.col("main")).alias("other"), "p", "q", F.pmod(F.xxhash64("set_key"), F.col("p")).cast("int").alias("y"), F.pmod(F.xxhash64("set_key", F.lit(1)), F.col("q")).cast("int").alias("x"))
-    left = rows.where("other").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).select("band", "x", "y", F.lit(0).alias("side"), "root", "set_key", "n", "regs")
-    right = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("q") - 1))).select("band", "x", "y", F.lit(1).alias("side"), "root", "set_key", "n", "regs")
+    main = roots.groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("main")).select(F.concat(F.col("band").cast("string"), F.lit("")).alias("_b"), "main")
+    rows = open_.join(main, splittable("band") == F.col("_b")).select("main", "num", "root").distinct()
+    sizes = rows.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("p"), F.ceil(F.count_if(F.col("root") != F.col("main")) / tile).cast("int").alias("q"))
+    rows = rows.join(sizes.where("q > 0").select(F.concat("main", F.lit("")).alias("_m"), "p", "q"), splittable("main") == F.col("_m"))
+    keys = classes.select(F.concat(F.col("num").cast("string"), F.lit("")).alias("_n"), "set_key", "regs")
+    rows = rows.join(keys, splittable("num") == F.col("_n")).join(pool.select(F.concat("key", F.lit("")).alias("_k"), "shingles"), splittable("set_key") == F.col("_k"))
+    rows = rows.select("main", "root", "set_key", "regs", "shingles", "p", "q", F.pmod(F.xxhash64("set_key"), F.col("p")).cast("int").alias("y"), F.pmod(F.xxhash64("set_key", F.lit(1)), F.col("q")).cast("int").alias("x"))
+    columns = ["main", "x", "y", "side", "root", "set_key", "regs", "shingles"]
+    left = rows.where("root <> main").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).withColumn("side", F.lit(0)).select(columns)
+    right = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("q") - 1))).withColumn("side", F.lit(1)).select(columns)
     schema = pa.schema([("a", pa.string()), ("b", pa.string())])
 
     def compare(groups):
         for t in groups:
-            side, n = t.column("side").to_numpy(), t.column("n").to_numpy()
-            regs, keys, root = _regs(t.column("regs")), np.array(t.column("set_key").to_pylist()), np.array(t.column("root").to_pylist())
-            right = np.flatnonzero(side == 1)
-            a, b = [], []
+            side, root = t.column("side").to_numpy(), t.column("root").to_pylist()
+            keys, sets = t.column("set_key").to_pylist(), [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
+            regs, n = _regs(t.column("regs")), np.array([len(x) for x in sets])
+            uf, by_root = Union(t.num_rows), {}
+            for i, r in enumerate(root):
+                uf.join(by_root.setdefault(r, i), i)
+            right, links = np.flatnonzero(side == 1), []
             for i in np.flatnonzero(side == 0):
-                js = right[root[right] != root[i]]
+                mine = uf.find(i)
+                js = np.array([j for j in right.tolist() if uf.find(j) != mine], int)
                 if len(js):
                     js = js[plausible(np.broadcast_to(regs[i], regs[js].shape), regs[js], np.full(len(js), n[i]), n[js], percent / 100)]
-                a += [max(keys[i], k) for k in keys[js]]
-                b += [min(keys[i], k) for k in keys[js]]
-                if len(a) > 10_000:
-                    yield arrow_out(schema, {"a": a, "b": b})
-                    a, b = [], []
-            if a:
-                yield arrow_out(schema, {"a": a, "b": b})
+                for j in js.tolist():
+                    if uf.find(j) != uf.find(i) and _linked(sets[i], sets[j], percent):
+                        uf.join(int(i), j)
+                        links.append((keys[i], keys[j]))
+            if links:
+                yield arrow_out(schema, {"a": [x[0] for x in links], "b": [x[1] for x in links]})
 
-    return grouped_arrow(left.unionByName(right), ["band", "x", "y"], compare, "a string, b string").distinct()
+    return grouped_arrow(left.unionByName(right), ["main", "x", "y"], compare, "a string, b string")
 
 
 def near_duplicates(
@@ -259,7 +268,7 @@ def near_duplicates(
     open_ = scratch.save(rooted.join(apart, splittable("band") == F.col("_k")).select("band", "num", "root"))
     if open_.isEmpty():
         return _result(base, classes, comps, id_col)
-    more = scratch.save(_verified(scratch.save(_open_pairs(open_, member, percent, 2 * chunk)), pool, percent, chunk))
+    more = scratch.save(_open_links(open_, member, pool, percent, 2 * chunk))
     if not more.isEmpty():
         comps = connected_components(found.unionByName(more), scratch)
     return _result(base, classes, comps, id_col)
