@@ -99,7 +99,7 @@ def mix(
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     sources = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(place - 1, F.lit(len(weights))) + 1).cast("int")))
-    sources = targets(sources, most)
+    sources = scratch.save(targets(sources, most))
     every = Window.partitionBy(F.lit(0))
     sources = sources.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.min(F.when(F.col("target") > 0, F.col("target"))).over(every) / 100))).cast("long"))
     sources = _apportion(sources, F.col("votes"), F.floor(F.sum("target").over(every) / F.col("block") + 0.500001), [], "source").withColumnRenamed("seats", "source_seats")
@@ -107,8 +107,9 @@ def mix(
     keyed = sources.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("key"), "source_size", "target", "block", "source_seats", "shards")
     rows = sized.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).join(keyed, "key")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("shards")).cast("int"))
-    shards = rows.groupBy("key", "shard", "block", "source_seats").agg(F.sum("size").alias("shard_size"))
-    shards = _apportion(shards, F.col("shard_size"), F.col("source_seats"), ["key"], "shard")
+    # written, as later steps read the shards' sizes and seats several times
+    shards = scratch.save(rows.groupBy("key", "shard", "block", "source_seats").agg(F.sum("size").alias("shard_size")))
+    shards = scratch.save(_apportion(shards, F.col("shard_size"), F.col("source_seats"), ["key"], "shard"))
     blocks = F.ceil(F.col("shard_size") / F.col("block")).cast("long")
     shards = shards.select(
         F.concat("key", F.lit("/"), F.col("shard").cast("string")).alias("_k"), "shard_size",
