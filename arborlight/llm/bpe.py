@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlight.llm.common import arrow_out
+from arborlight.llm.common import slices
 from arborlight.plans.durable import Scratch
 
 #: White space as the tokenizer's expressions take it (without U+001C to U+001F).
@@ -382,7 +382,7 @@ def encode_documents(
 
     def encode(batches):
         codec = Codec(Vocabulary(sent_spec.value), Lexicon.mapped(sent.value))
-        for batch in batches:
+        for batch in slices(batches):
             done = [codec.encode(x.as_py()) for x in batch.column(1)]
             columns = {
                 "id": batch.column(0), "n_tokens": [i.count(" ") + 1 if i else 0 for i, _ in done],

@@ -32,7 +32,7 @@ def alnum_words(text: str | None) -> list[bytes]:
 class HashCache(dict):
     """64-bit hashes of words, as 8 bytes each; forgets all when it holds too many."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
@@ -72,6 +72,13 @@ def arrow_out(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, as what a task makes of a text can be several times its size."""
+    for b in batches:
+        for s in range(0, b.num_rows, rows):
+            yield b.slice(s, rows)
+
+
 def stream_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of the rows of one key each, from batches sorted by the keys; holds one group at a time."""
     held: list[pa.RecordBatch] = []

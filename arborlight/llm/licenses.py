@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlight.llm.common import alnum_words, arrow_out
+from arborlight.llm.common import alnum_words, arrow_out, slices
 
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -186,7 +186,7 @@ def license_scan(
 
     def run(batches):
         index = TemplateIndex(templates, frequency, threshold, marks)
-        for batch in batches:
+        for batch in slices(batches):
             rows = {f.name: [] for f in schema}
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = alnum_words(x.as_py())

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlight.llm.common import HashCache, Union, arrow_out, bloom_filter, bloom_has, grouped_arrow, shingle_set, space_words
+from arborlight.llm.common import HashCache, Union, arrow_out, bloom_filter, bloom_has, grouped_arrow, shingle_set, slices, space_words
 from arborlight.plans.components import connected_components, splittable
 from arborlight.plans.durable import Scratch
 
@@ -208,7 +208,7 @@ def near_duplicates(
         cache = HashCache()
         turn = np.random.default_rng(seed + 1).integers(1, 1 << 62, (rows,), dtype=np.uint64) | np.uint64(1)
         salt = np.arange(1, bands + 1, dtype=np.uint64) << np.uint64(52)
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_pylist()
             n, keys, band, regs = [], [], [], []
             for i, x in zip(ids, batch.column(1), strict=True):
@@ -250,7 +250,7 @@ def near_duplicates(
 
     def sets(batches):
         cache = HashCache()
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingle_set(space_words(x.as_py()), shingle, cache) for x in batch.column(1)]
             found = [s for s in found if len(s)]
             yield arrow_out(set_schema, {"key": [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in found], "shingles": [s.tobytes() for s in found]})

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlight.llm.common import LOWER
+from arborlight.llm.common import LOWER, slices
 from arborlight.plans.durable import Scratch
 
 #: Kinds of bytes: capitals, small letters, digits, line ends, other controls and white space, bytes of non-ASCII characters, each ASCII mark.
@@ -198,7 +198,7 @@ def quality_scores(
     scratch = Scratch(docs.sparkSession, "quality")
 
     def extract(batches):
-        for b in batches:
+        for b in slices(batches):
             x = np.stack([features(t.as_py()) for t in b.column(1)]) if b.num_rows else np.zeros((0, SIZE), np.float32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * SIZE, pa.int32()), pa.array(x.ravel(), pa.float32()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], ["id", "x"])
