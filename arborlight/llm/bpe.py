@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlight.llm.common import slices
+from arborlight.llm.common import slices, tidied
 from arborlight.plans.durable import Scratch
 
 #: White space as the tokenizer's expressions take it (without U+001C to U+001F).
@@ -341,7 +341,7 @@ def frequent_words(docs: DataFrame, scratch: Scratch, spec: dict, text_col: str,
                     yield counts()
         yield counts()
 
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(tidied(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = scratch.save(counts)
     tops = counts.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n"))
     total, least = 0, None
@@ -393,5 +393,5 @@ def encode_documents(
                 columns |= {"ids": [list(map(int, i.split())) for i, _ in done], "decoded": [d for _, d in done]}
             yield pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in schema], schema=schema)
 
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, f"id long, {kind}")
+    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidied(encode), f"id long, {kind}")
     return out.withColumnRenamed("id", id_col)

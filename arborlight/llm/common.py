@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,6 +81,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield b.slice(s, rows)
 
 
+def tidied(fn):
+    """fn, an iterator over batches, and then what it has freed goes back to the system: workers are used again, and wait with what they hold."""
+
+    def run(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def stream_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of the rows of one key each, from batches sorted by the keys; holds one group at a time."""
     held: list[pa.RecordBatch] = []
@@ -111,7 +125,7 @@ def grouped_arrow(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
     def run(batches):
         return fn(stream_groups(batches, keys))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidied(run), schema)
 
 
 class Union:
@@ -157,13 +171,16 @@ def bloom_filter(df: DataFrame, id_col: str, bits: int = 1 << 23) -> np.ndarray:
     return out
 
 
-def bloom_has(df: DataFrame, id_col: str, words: np.ndarray, hashes: int = 3, keep: bool = True) -> DataFrame:
-    """Rows whose id may be in the filter (with keep=False: those whose id can't be, or is null); tells it by the same hashes, in the JVM, and looks up in Arrow batches."""
+def bloom_has(df: DataFrame, id_col: str, words: np.ndarray, hashes: int = 3, keep: bool = True, then=None, schema=None) -> DataFrame:
+    """Rows whose id may be in the filter (with keep=False: those whose id can't be, or is null); tells it by the same hashes, in the JVM, and looks up in Arrow batches.
+
+    ``then`` maps the batches of these rows on, in the same worker, to batches of ``schema``.
+    """
     bits, names = len(words) * 64, df.columns
     bc = df.sparkSession.sparkContext.broadcast(words.view(np.uint64))
     named = df.select("*", *[F.pmod(F.xxhash64(F.col(id_col), F.lit(i)), F.lit(bits)).alias(f"_h{i}") for i in range(hashes)], F.col(id_col).isNull().alias("_null"))
 
-    def run(batches):
+    def passed(batches):
         table = bc.value
         for b in batches:
             may = ~np.asarray(b.column("_null").to_numpy(zero_copy_only=False), bool)
@@ -172,4 +189,7 @@ def bloom_has(df: DataFrame, id_col: str, words: np.ndarray, hashes: int = 3, ke
                 may &= (table[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) > 0
             yield b.filter(pa.array(may if keep else ~may)).select(names)
 
-    return named.mapInArrow(run, df.schema)
+    def run(batches):
+        return then(passed(batches)) if then else passed(batches)
+
+    return named.mapInArrow(tidied(run), schema or df.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlight.llm.common import mix64
+from arborlight.llm.common import mix64, tidied
 from arborlight.plans.durable import Scratch
 
 UNKNOWN = "und"
@@ -29,7 +29,7 @@ PLANES = (0.0, 1 / 64, 1 / 8, 1 / 2)
 #: A filter gets as many slots as keep the share of set bits of each language to FILL, up to 2^MOST_BITS; past FULL it tells nothing.
 FILL, FULL, MOST_BITS = 0.25, 0.95, 24
 #: Characters of a run, and n-grams that a task holds before it hands their counts on.
-RUN, HELD = 1 << 18, 1 << 21
+RUN, HELD = 1 << 18, 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _LETTERS: list[np.ndarray] = []
 _BITS = (np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1
@@ -164,7 +164,7 @@ def learn_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         yield from counts()
 
     known = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    counts = known.mapInArrow(count, "lang string, gram long, c long").groupBy("gram", "lang").agg(F.sum("c").alias("c"))
+    counts = known.mapInArrow(tidied(count), "lang string, gram long, c long").groupBy("gram", "lang").agg(F.sum("c").alias("c"))
     counts = Scratch(docs.sparkSession, "langid").save(counts)
     totals = counts.groupBy("lang").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("grams")).orderBy(F.desc("total"), "lang").collect()  # a row for each language
     languages, planes = [r.lang for r in totals], len(PLANES)
@@ -205,7 +205,7 @@ def with_language(docs: DataFrame, learnt: LanguageFilter, text_col: str = "text
                 got = [f.decide(x.as_py()) for x in b.column(names.index(text_col))]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*names, "lang_pred", "lang_score"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidied(run), schema)
 
 
 def identify(docs: DataFrame, learnt: LanguageFilter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlight.llm.common import HashCache, Union, arrow_out, bloom_filter, bloom_has, grouped_arrow, shingle_set, slices, space_words
+from arborlight.llm.common import HashCache, Union, arrow_out, bloom_filter, bloom_has, grouped_arrow, shingle_set, slices, space_words, tidied
 from arborlight.plans.components import connected_components, splittable
 from arborlight.plans.durable import Scratch
 
@@ -228,7 +228,7 @@ def near_duplicates(
             yield arrow_out(base_schema, {"id": ids, "n_shingles": n, "set_key": keys, "bands": band, "regs": regs})
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = scratch.save(source.mapInArrow(sketch, "id long, n_shingles long, set_key string, bands array<long>, regs binary"))
+    base = scratch.save(source.mapInArrow(tidied(sketch), "id long, n_shingles long, set_key string, bands array<long>, regs binary"))
     classes = base.groupBy("set_key").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("regs").alias("regs"))
     classes = scratch.save(classes.where("rep is not null").withColumn("num", F.xxhash64("set_key")))
 
@@ -245,7 +245,6 @@ def near_duplicates(
     member = scratch.save(classes.join(weight.select("num"), "num", "left_semi").select("num", "set_key", "rep", "n", "regs"))
 
     bits = bloom_filter(member, "rep", bits=1 << min(28, max(16, (12 * member.count()).bit_length())))
-    wanted = bloom_has(source.where("id is not null"), "id", bits)
     set_schema = pa.schema([("key", pa.string()), ("shingles", pa.binary())])
 
     def sets(batches):
@@ -255,7 +254,7 @@ def near_duplicates(
             found = [s for s in found if len(s)]
             yield arrow_out(set_schema, {"key": [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in found], "shingles": [s.tobytes() for s in found]})
 
-    payload = wanted.mapInArrow(sets, "key string, shingles binary").join(member.select(F.col("set_key").alias("key")), "key", "left_semi")
+    payload = bloom_has(source.where("id is not null"), "id", bits, then=sets, schema="key string, shingles binary").join(member.select(F.col("set_key").alias("key")), "key", "left_semi")
     pool = scratch.save(payload.groupBy("key").agg(F.any_value("shingles").alias("shingles")))
     pairs = scratch.save(_plausible_pairs(stars.select(F.col("num").alias("x"), F.col("hub").alias("y")).distinct(), member, percent))
     found = scratch.save(_verified(pairs, pool, percent, chunk))
