@@ -19,10 +19,16 @@ LANGUAGE_SHARE = 0.25
 ORACLE_SQL = None
 
 
+def _batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows: the usual 10,000 whole texts are held several times over by the JVM and by each worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns the languages from the rows that name theirs; rejects texts without a letter, and those whose hits are spread over
     languages; fills in languages that are missing. A text with letters and no hit at all (score 0) says nothing against
     itself: it stays with the language that it has, null included."""
+    _batches(spark)
     names = docs.columns
     seen = langid.with_language(docs, langid.learn_filter(docs))
     silent = F.col("lang_score") == 0
@@ -34,6 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of rows that share five-word shingles at a similarity of 0.8 or more, one stays: that with the least id, null
     last; of equal ids, the one with the least hash of its text. Rows with a null or a repeated id are documents of their own,
     so a row goes only if its own text is a duplicate. Texts without words all stay."""
+    _batches(spark)
     names = docs.columns
     scratch = Scratch(spark, "pipeline-neardup")
     docs = scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()))
@@ -73,6 +80,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _batches(spark)
     return bpe.encode_documents(docs, tokenizer_path())
 
 
