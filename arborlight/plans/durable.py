@@ -7,12 +7,26 @@ and survives the loss of any executor. The folder is ``spark.checkpoint.dir``; o
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_COLLECTING: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def scratches():
+    """The list of all Scratch folders that are made inside, for whoever knows when nothing reads them any more."""
+    made: list[Scratch] = []
+    _COLLECTING.append(made)
+    try:
+        yield made
+    finally:
+        _COLLECTING.remove(made)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
@@ -36,6 +50,8 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/arborlight/{name}-{uuid.uuid4().hex}"
         self.count = 0
         self._delete_on_exit()
+        for made in _COLLECTING:
+            made.append(self)
 
     def _path(self, path: str):
         jvm = self.spark.sparkContext._jvm
@@ -60,3 +76,8 @@ class Scratch:
         """Delete a table that save() returned."""
         p, fs = self._path(df._scratch_path)
         fs.delete(p, True)
+
+    def clear(self) -> None:
+        """Delete all tables."""
+        p, fs = self._path(self.root)
+        fs.delete(p, True)
