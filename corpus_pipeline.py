@@ -1,34 +1,52 @@
 """From documents to tokens: five stages, each an operator of the llm subpackage.
 
 Each stage reads what its predecessor wrote, works on all of it, and returns the columns of documents; the last returns
-the tokens' counts and digests. Repeated rows, null and empty texts pass as each operator's docstring says.
+the tokens' counts and digests. A stage's result is written before the next one starts, which then drops the
+intermediate tables behind it. Repeated rows, null and empty texts pass as each operator's docstring says.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlight.llm import bpe, langid, minhash_dedup, mixing, secrets
 from arborlight.llm.common import SPACE_WORD, bloom_filter, bloom_has
 from arborlight.llm.queries import tokenizer_path
-from arborlight.plans.durable import Scratch
+from arborlight.plans.durable import Scratch, scratches
 
 #: A text must owe this share of its most telling n-grams to one language; with fewer its languages contradict each other.
 LANGUAGE_SHARE = 0.25
 ORACLE_SQL = None
 
 
-def _batches(spark: SparkSession) -> None:
-    """Arrow batches of 1,000 rows: the usual 10,000 whole texts are held several times over by the JVM and by each worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+_BEHIND: list[Scratch] = []
+
+
+def stage(work):
+    """A stage: drops the tables behind the last stage's written result, and runs with Arrow batches of 1,000 rows, as the usual
+    10,000 whole texts are held several times over by the JVM and by each worker."""
+
+    @functools.wraps(work)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _BEHIND:
+            _BEHIND.pop().clear()
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        with scratches() as made:
+            out = work(spark, docs, sf_dir)
+        _BEHIND.extend(made)
+        return out
+
+    return begin
 
 
+@stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns the languages from the rows that name theirs; rejects texts without a letter, and those whose hits are spread over
     languages; fills in languages that are missing. A text with letters and no hit at all (score 0) says nothing against
     itself: it stays with the language that it has, null included."""
-    _batches(spark)
     names = docs.columns
     seen = langid.with_language(docs, langid.learn_filter(docs))
     silent = F.col("lang_score") == 0
@@ -36,11 +54,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("lang", F.coalesce("lang", F.when(~silent, F.col("lang_pred")))).select(names)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of rows that share five-word shingles at a similarity of 0.8 or more, one stays: that with the least id, null
     last; of equal ids, the one with the least hash of its text. Rows with a null or a repeated id are documents of their own,
     so a row goes only if its own text is a duplicate. Texts without words all stay."""
-    _batches(spark)
     names = docs.columns
     scratch = Scratch(spark, "pipeline-neardup")
     docs = scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()))
@@ -56,6 +74,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return clear.select(names).unionByName(suspects.select(names))
 
 
+@stage
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every reported span is replaced by a mark; texts without one stay as they are."""
     found = secrets.secret_parts(docs, reach=None)
@@ -63,6 +82,7 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return found.withColumn("n_chars", F.when(F.size("secret_parts") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
+@stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it whole, and once more with the words of the rest; rows with a null or a repeated id are
     documents of their own. Rows without words, and those that the mix takes nothing of, go."""
@@ -79,8 +99,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return whole.unionByName(cut.select(names))
 
 
+@stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _batches(spark)
     return bpe.encode_documents(docs, tokenizer_path())
 
 
@@ -97,6 +117,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of the folder, each one's result written and read again."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir))
+    for _, work in STAGES[:-1]:
+        docs = scratch.save(work(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
