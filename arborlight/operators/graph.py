@@ -13,28 +13,38 @@ from pyspark.sql import functions as F
 from arborlight.plans.durable import Scratch
 
 
-def reach(edges: DataFrame, roots: DataFrame, parents: DataFrame | None = None, conditional: DataFrame | None = None, rounds: int = 1000) -> DataFrame:
-    """(id): all that the roots (id) reach along edges (src, dst).
+def closure_steps(edges: DataFrame, parents: DataFrame | None = None, conditional: DataFrame | None = None) -> DataFrame:
+    """(id, next): what marking a vertex marks, written once and shared by closures.
 
-    parents(id, parent): marking a vertex marks its ancestors. conditional(id, needs): such a vertex is a root once ``needs`` is
-    reached. Semi-naive: each round joins only what the last one found.
+    edges (src, dst); parents(id, parent): marking a vertex marks its ancestors; conditional(id, needs): such a vertex is a root
+    once ``needs`` is reached.
     """
-    scratch = Scratch(edges.sparkSession, "reach")
     step = edges.select(F.col("src").alias("id"), F.col("dst").alias("next"))
     if parents is not None:
         step = step.unionByName(parents.where("parent is not null").select("id", F.col("parent").alias("next")))
     if conditional is not None:
         step = step.unionByName(conditional.select(F.col("needs").alias("id"), F.col("id").alias("next")))
-    step = scratch.save(step.where("id is not null and next is not null").distinct())
-    parts = [scratch.save(roots.select("id").where("id is not null").distinct())]
-    for _ in range(rounds):
-        known = reduce(DataFrame.unionByName, parts)
-        found = parts[-1].join(step, "id").select(F.col("next").alias("id")).distinct().join(known, "id", "left_anti")
-        found = scratch.save(found)
-        if found.isEmpty():
-            return known
-        parts.append(found)
-    raise RuntimeError(f"no closure within {rounds} rounds")
+    return Scratch(edges.sparkSession, "steps").save(step.where("id is not null and next is not null").distinct())
+
+
+def reach(edges: DataFrame | None, roots: DataFrame, parents: DataFrame | None = None, conditional: DataFrame | None = None, steps: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """(id): all that the roots (id) reach along edges (src, dst); see closure_steps, whose result may be given instead.
+
+    known: what an earlier closure over the same steps has reached; only what is beyond it is walked, and it is part of the result.
+    Semi-naive: each round joins only what the last one found. What is known is merged every eight rounds, so a round reads
+    few files however long the chains are.
+    """
+    scratch = Scratch(roots.sparkSession, "reach")
+    step = closure_steps(edges, parents, conditional) if steps is None else steps
+    first = roots.select("id").where("id is not null").distinct()
+    parts = [] if known is None else [known.select("id")]
+    parts.append(scratch.save(first if known is None else first.join(parts[0], "id", "left_anti")))
+    while not parts[-1].isEmpty():
+        if len(parts) > 8:
+            parts = [scratch.save(reduce(DataFrame.unionByName, parts[:-1])), parts[-1]]
+        seen = reduce(DataFrame.unionByName, parts)
+        parts.append(scratch.save(parts[-1].join(step, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 50, damping: float = 0.85, focus: DataFrame | None = None, tolerance: float | None = 1e-9) -> DataFrame:

@@ -101,9 +101,9 @@ s as (select *, {_SCORE.split(' from (')[0].replace('test_only', 'used_by_tests'
 select id, name, file, line, case when used_by_tests then 'used-only-by-tests' else 'dead-code' end as rule, confidence,
   case when confidence >= 0.9 then 'high' when confidence >= 0.7 then 'medium' else 'low' end as level from s where confidence >= 0.3""")
 def q_dead_code(spark, sf_dir):
-    e, roots = rows(spark, sf_dir, EDGES), rows(spark, sf_dir, ROOTS)
-    prod = G.reach(e, roots).withColumn("prod", F.lit(True))
-    every = G.reach(e, roots.unionByName(rows(spark, sf_dir, TEST_ROOTS))).withColumn("any", F.lit(True))
+    steps, roots = G.closure_steps(rows(spark, sf_dir, EDGES)), rows(spark, sf_dir, ROOTS)
+    reached = G.reach(None, roots, steps=steps)
+    prod, every = reached.withColumn("prod", F.lit(True)), G.reach(None, rows(spark, sf_dir, TEST_ROOTS), steps=steps, known=reached).withColumn("any", F.lit(True))
     s = rows(spark, sf_dir, FLAGS).join(prod, "id", "left").where("prod is null").join(every, "id", "left").withColumn("used", F.coalesce("any", F.lit(False)))
     flags = {k: F.col(k) for k in ("private", "census_zero", "dynamic", "in_string", "decorated", "subclass", "exported", "broken")}
     s = s.withColumn("confidence", V.dead_score(flags, F.col("used"))).where("confidence >= 0.3")
