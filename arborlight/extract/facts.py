@@ -12,6 +12,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from arborlight.extract import braces, python_source
 from arborlight.extract.packs import PACKS, Pack
+from arborlight.functions.scalar import GENERATED_ENDS, GENERATED_MARKS
 
 SYMBOL = "idx int, kind string, name string, qname string, start_line long, end_line long, exported boolean, is_test boolean, entry string, entry_cond string, decorated boolean, subclass boolean, framework_risk string, unity string, keep string, parent_idx int"
 REF = "pos int, src_idx int, name string, kind string, line long, member boolean"
@@ -23,9 +24,6 @@ def _struct(ddl: str) -> str:
 
 
 FACTS = f"path string, lang string, is_test boolean, is_generated boolean, parse_status string, dynamic array<string>, symbols {_struct(SYMBOL)}, refs {_struct(REF)}, imports {_struct(IMPORT)}, strings array<string>"
-# Names and marks of generated files, as they are written.
-GENERATED_ENDS = (".min.js", ".d.ts", ".d.mts", ".d.cts", ".pb.go")
-GENERATED_MARKS = ("@generated", "DO NOT EDIT", "Code generated", "auto-generated", "autogenerated")
 _IDENT = re.compile(r"[^\W\d][\w$]*|\$[\w$]*")
 #: An annotation in a comment, on the line of a definition or the one above, that keeps it: <tool>:keep(reason).
 _KEEP = re.compile(r"\w:keep\(([^)]*)\)")

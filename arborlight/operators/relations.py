@@ -69,11 +69,14 @@ def declared_imports(imports: DataFrame, deps: DataFrame) -> DataFrame:
 
 def dependency_findings(imports: DataFrame, registry: DataFrame) -> DataFrame:
     """(id, rule, confidence) of imports(id, eco, package, declared, dev_only, is_test, optional, has_manifest); registry(eco, package, exists): no row is unknown."""
+    from arborlight.operators.dependencies import distribution, import_confidence
+
     x = imports.join(registry, ["eco", "package"], "left")
-    rule = F.when(~F.col("declared") & (F.col("exists") == F.lit(False)), "nonexistent-package").when(~F.col("declared"), "undeclared-dependency").when(F.col("dev_only") & ~F.col("is_test"), "dev-dependency-in-source")
-    base = F.when(rule == "nonexistent-package", 0.90).when(rule == "dev-dependency-in-source", 0.50).when(F.col("exists"), 0.80).otherwise(0.55)
-    capped = F.when(F.col("optional"), F.least(base, F.lit(0.35))).when(~F.col("has_manifest"), F.least(base, F.lit(0.45))).otherwise(base)
-    return x.withColumns({"rule": rule, "confidence": F.when(rule == "dev-dependency-in-source", base).otherwise(capped)}).where("rule is not null").select("id", "rule", "confidence")
+    absent = F.coalesce(~F.col("exists"), F.lit(False))
+    rule = F.when(~F.col("declared") & absent, "nonexistent-package").when(~F.col("declared"), "undeclared-dependency").when(F.col("dev_only") & ~F.col("is_test"), "dev-dependency-in-source")
+    mapped = distribution(F.col("eco"), F.col("package")).isNotNull()
+    conf = F.when(rule == "dev-dependency-in-source", 0.50).otherwise(import_confidence(absent, F.col("eco"), mapped, F.col("has_manifest"), F.col("optional")))
+    return x.withColumns({"rule": rule, "confidence": conf}).where("rule is not null").select("id", "rule", "confidence")
 
 
 def changed(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -242,7 +242,7 @@ def q_normalise_digits(spark, sf_dir):
     return rows(spark, sf_dir, "select * from documents").select("doc_id", F.md5(S.normalise_digits(F.col("text"))).alias("digest"))
 
 
-@query("select page_id, lower(array_to_string((string_split(html, chr(10)))[1:10], chr(10))) similar to '.*(@generated|do not edit|code generated|autogenerated|auto-generated).*' as generated from pages")
+@query("select page_id, regexp_matches(array_to_string((string_split(html, chr(10)))[1:10], chr(10)), '@generated|DO NOT EDIT|Code generated|autogenerated|auto-generated') as generated from pages")
 def q_generated_scan(spark, sf_dir):
     return rows(spark, sf_dir, "select page_id, html from pages").select("page_id", S.generated(F.col("html")).alias("generated"))
 
@@ -390,7 +390,7 @@ n as (select path, count(*) filter (where sign = '-') as r, count(*) filter (whe
 w as (select *, bool_or(sign = '-' and asserts and strict) over (partition by path, hunk) as was from x)
 select path, 'added-skip' as rule, line, 0.95::double as confidence from x where sign = '+' and skips
 union all select path, 'assertions-reduced', line, case when r - a >= 3 then 0.65::double else 0.55::double end from n where r > a
-union all select path, 'assertion-loosened', line, 0.6::double from w where sign = '+' and asserts and loose and not strict and was""")
+union all select path, 'assertion-loosened', line, 0.6::double from w where sign = '+' and loose and not strict and was""")
 def q_weakening(spark, sf_dir):
     from arborlight.operators.weakening import Rules, analyze
 
@@ -448,7 +448,7 @@ REGISTRY = "select distinct 'eco' || (p_partkey % 2) as eco, 'Pkg_' || (p_partke
 
 @query(f"""with {_DECL}, g as ({REGISTRY.replace(' as exists', ' as there')}), x as (select q.*, g.there, file like 'r1/%' as is_test, id % 5 = 0 as optional from q left join g on g.eco = q.eco and g.package = q.package),
 r as (select *, case when not declared and not there then 'nonexistent-package' when not declared then 'undeclared-dependency' when dev_only and not is_test then 'dev-dependency-in-source' end as rule from x)
-select id, rule, case when rule = 'dev-dependency-in-source' then 0.5::double else least(case when rule = 'nonexistent-package' then 0.9::double when there then 0.8::double else 0.55::double end, case when optional then 0.35::double else 1 end) end as confidence
+select id, rule, case when rule = 'dev-dependency-in-source' then 0.5::double else least(case when rule = 'nonexistent-package' then 0.9::double else 0.8::double end, case when optional then 0.35::double else 1 end) end as confidence
 from r where rule is not null""")
 def q_deps_registry(spark, sf_dir):
     i = R.declared_imports(rows(spark, sf_dir, DEP_IMPORTS), rows(spark, sf_dir, DEPS))
