@@ -101,21 +101,33 @@ def best_paths(edges: DataFrame, seeds: DataFrame, depth: int = 4, least: float
     return reduce(DataFrame.unionByName, parts).where("distance > 0")
 
 
-def pack_budget(candidates: DataFrame, order: list, budget: int) -> DataFrame:
+def pack_budget(candidates: DataFrame, order: list, budget: int, shared: str | None = None, shared_cost: str | None = None) -> DataFrame:
     """Rows (id, cost) taken greedily in the order while they fit; what doesn't fit is skipped and the rest still tried.
 
-    Sequential by nature: sorted rows stream through the driver one partition at a time until nothing cheaper can fit;
-    what is held is bounded by the budget.
+    With shared, the first row taken of each value of that column also costs shared_cost. What no longer fits never will, so each
+    round asks the cluster for the first rows that still do, as many as the budget could hold, and fills up from them: the
+    driver sees as many rows as the budget has units at most, however long the table is.
     """
     spark = candidates.sparkSession
+    kind = {f.name: f.dataType.simpleString() for f in candidates.schema}
+    group, extra = (F.col(shared) if shared else F.lit(None).cast("string")).alias("_g"), (F.col(shared_cost) if shared_cost else F.lit(0)).alias("_x")
     cheapest = candidates.agg(F.min("cost")).first()[0]
-    taken, left = [], budget
-    if cheapest is not None:
-        for row in candidates.where(F.col("cost") <= budget).orderBy(*order).select("id", "cost").toLocalIterator():
-            if row.cost <= left:
+    taken, left, paid = [], budget, set()
+    while cheapest is not None and left >= max(cheapest, 0):
+        fits = candidates.where(F.col("cost") <= left)
+        if taken:
+            fits = fits.where(~F.col("id").isin([t[0] for t in taken]))
+        if shared:  # a row whose heading isn't paid must fit with it
+            fits = fits.where((F.col("cost") + F.col(shared_cost) <= left) | F.col(shared).isin(sorted(paid)))
+        most = left // max(cheapest, 1) + 1
+        rows = fits.orderBy(*order).select("id", "cost", group, extra).limit(int(most)).collect()
+        if not rows:
+            break
+        for row in rows:
+            cost = row.cost + (0 if row._g is None or row._g in paid else row._x)
+            if cost <= left:
                 taken.append((row.id, row.cost, len(taken) + 1))
-                left -= row.cost
-            if left < cheapest:
-                break
-    kind = {f.name: f.dataType.simpleString() for f in candidates.schema}
+                left -= cost
+                if row._g is not None:
+                    paid.add(row._g)
     return spark.createDataFrame(taken, f"id {kind['id']}, cost {kind['cost']}, place int")

@@ -27,23 +27,58 @@ def resolve_by_candidates(imports: DataFrame, files: DataFrame, endings: list[st
     return imports.join(found, "id", "left")
 
 
-def innermost(points: DataFrame, intervals: DataFrame, key: str, cell: int = 64) -> DataFrame:
+_LEAST_LEVEL = 6
+
+
+def _level(lo: str, hi: str) -> Column:
+    """The dyadic level of an interval: cells of 2^level are at least as long as it, so it touches two of them at most."""
+    return F.greatest(F.lit(_LEAST_LEVEL), F.ceil(F.log2(F.greatest(F.col(hi) - F.col(lo) + 1, F.lit(1)).cast("double"))).cast("int"))
+
+
+def _levels(df: DataFrame) -> list[int]:
+    """The levels that occur: 64 at most."""
+    return sorted(r[0] for r in df.select("_level").where("_level is not null").distinct().collect())
+
+
+def _cells(df: DataFrame, lo: str, hi: str) -> DataFrame:
+    """A row for each cell of its level that an interval touches."""
+    at = lambda c: F.expr(f"cast(floor({c} / power(2d, _level)) as bigint)")
+    return df.withColumn("_cell", F.explode(F.array_distinct(F.array(at(lo), at(hi)))))
+
+
+def _at_levels(df: DataFrame, levels: list[int], least: Column) -> DataFrame:
+    """A row for each of the levels from ``least`` on."""
+    return df.withColumn("_level", F.explode(F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<int>"), lambda x: x >= least)))
+
+
+def innermost(points: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
     """points(key, point_id, at) with the innermost of intervals(key, span_id, lo, hi) that holds each: greatest lo, least hi, greatest id.
 
-    Both are dealt out to cells of the axis, so a key with many spans is many small joins.
+    Intervals lie in one or two cells of their dyadic level, whatever their length, and a point is looked up once for each level
+    that occurs; so a key with many spans is many small joins.
     """
-    cells = intervals.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor(F.col("hi") / cell))))
-    met = points.withColumn("_cell", F.floor(F.col("at") / cell)).join(cells, [key, "_cell"]).where("at between lo and hi")
+    spans = _cells(intervals.withColumn("_level", _level("lo", "hi")), "lo", "hi")
+    cells = _at_levels(points, _levels(spans), F.lit(0))
+    met = cells.withColumn("_cell", F.expr("cast(floor(at / power(2d, _level)) as bigint)")).join(spans, [key, "_level", "_cell"]).where("at between lo and hi")
     best = met.groupBy(key, "point_id").agg(F.max_by("span_id", F.struct("lo", -F.col("hi"), "span_id")).alias("span_id"))
     return points.join(best, [key, "point_id"], "left")
 
 
-def overlapping(ranges: DataFrame, spans: DataFrame, key: str, cell: int = 64) -> DataFrame:
-    """(key, range_id, span_id) of ranges(lo, hi) and spans(start, end) that overlap, each pair once."""
-    cut = lambda df, lo, hi: df.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))))
-    met = cut(ranges, "lo", "hi").join(cut(spans, "start", "end"), [key, "_cell"]).where("lo <= end and hi >= start")
-    # a pair belongs to the first cell that both touch
-    return met.where(F.col("_cell") == F.floor(F.greatest("lo", "start") / cell)).select(key, "range_id", "span_id")
+def overlapping(ranges: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """(key, range_id, span_id) of ranges(lo, hi) and spans(start, end) that overlap, each pair once.
+
+    A pair meets at the higher of its two dyadic levels, where each side touches two cells at most, in the first cell both touch.
+    """
+    a = ranges.select(key, "range_id", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")).withColumn("_level", _level("lo", "hi"))
+    b = spans.select(key, "span_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).withColumn("_level", _level("start", "end"))
+
+    def pairs(high, h_lo, h_hi, low, l_lo, l_hi, strict):
+        own = F.col("_own") + (1 if strict else 0)
+        lower = _at_levels(low.withColumnRenamed("_level", "_own"), _levels(high), own)
+        met = _cells(high, h_lo, h_hi).join(_cells(lower, l_lo, l_hi), [key, "_level", "_cell"]).where("lo <= end and hi >= start")
+        return met.where(F.col("_cell") == F.expr("cast(floor(greatest(lo, start) / power(2d, _level)) as bigint)")).select(key, "range_id", "span_id")
+
+    return pairs(a, "lo", "hi", b, "start", "end", False).unionByName(pairs(b, "start", "end", a, "lo", "hi", True))
 
 
 def without_containers(seeds: DataFrame) -> DataFrame:
