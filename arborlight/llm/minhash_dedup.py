@@ -231,6 +231,9 @@ def near_duplicates(
     base = scratch.save(source.mapInArrow(tidied(sketch), "id long, n_shingles long, set_key string, bands array<long>, regs binary"))
     classes = base.groupBy("set_key").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("regs").alias("regs"))
     classes = scratch.save(classes.where("rep is not null").withColumn("num", F.xxhash64("set_key")))
+    # from here on tables are dropped as soon as nothing reads them: sketches are wide, and sets wider
+    whole, base = base, scratch.save(base.select("id", "n_shingles", "set_key"))
+    scratch.drop(whole)
 
     # Buckets go by a hash of the set's key: should two keys ever share one, both are candidates, and no link changes.
     banded = classes.where("n > 0").select("num", F.explode("bands").alias("band"))
@@ -243,6 +246,9 @@ def near_duplicates(
     stars = met.join(hub.select(F.concat(F.col("band").cast("string"), F.lit("")).alias("_k"), "hub"), splittable("band") == F.col("_k")).select("band", "num", "hub")
     stars = scratch.save(stars.where("num <> hub"))
     member = scratch.save(classes.join(weight.select("num"), "num", "left_semi").select("num", "set_key", "rep", "n", "regs"))
+    whole, classes = classes, scratch.save(classes.select("set_key", "rep"))
+    scratch.drop(whole)
+    scratch.drop(met)
 
     bits = bloom_filter(member, "rep", bits=1 << min(28, max(16, (12 * member.count()).bit_length())))
     set_schema = pa.schema([("key", pa.string()), ("shingles", pa.binary())])
@@ -258,6 +264,7 @@ def near_duplicates(
     pool = scratch.save(payload.groupBy("key").agg(F.any_value("shingles").alias("shingles")))
     pairs = scratch.save(_plausible_pairs(stars.select(F.col("num").alias("x"), F.col("hub").alias("y")).distinct(), member, percent))
     found = scratch.save(_verified(pairs, pool, percent, chunk))
+    scratch.drop(pairs)
     comps = connected_components(found, scratch)
 
     # what no hub has seen: pairs of different components in buckets that the links leave apart
@@ -265,9 +272,12 @@ def near_duplicates(
     rooted = stars.join(root, splittable("num") == F.col("_n")).select("band", "num", "root")
     apart = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.concat(F.col("band").cast("string"), F.lit("")).alias("_k"))
     open_ = scratch.save(rooted.join(apart, splittable("band") == F.col("_k")).select("band", "num", "root"))
+    scratch.drop(stars)
     if open_.isEmpty():
         return _result(base, classes, comps, id_col)
     more = scratch.save(_open_links(open_, member, pool, percent, 2 * chunk))
+    for table in (open_, member, pool):
+        scratch.drop(table)
     if not more.isEmpty():
         comps = connected_components(found.unionByName(more), scratch)
     return _result(base, classes, comps, id_col)
