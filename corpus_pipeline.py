@@ -8,6 +8,7 @@ intermediate tables behind it. Repeated rows, null and empty texts pass as each
 from __future__ import annotations
 
 import functools
+import gc
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,9 @@ def stage(work):
     def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         while _BEHIND:
             _BEHIND.pop().clear()
+        # shuffles that no plan refers to are removed when the driver collects its garbage
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
         with scratches() as made:
             out = work(spark, docs, sf_dir)
