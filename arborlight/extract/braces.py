@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+from arborlight.extract import engine
+
 _LEX = {
     "js": r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`",
     "rust": r"//[^\n]*|/\*.*?\*/|b?r(#*)\".*?\"\1|b?\"(?:\\.|[^\"\\])*\"|b?'(?:\\[^']*|[^'\\\n])'",
@@ -235,7 +237,9 @@ def _classlike(src: Source, family: str) -> list[dict]:
         word = m["word"].split()[0]
         if word in words and m["name"] not in _KEYWORDS[family]:
             bases = re.search(r"\b(?:extends|implements)\b", m["rest"]) if family == "java" else re.search(r"(?<!:):(?!:)", re.sub(r"\([^)]*\)", "", m["rest"]))
-            defs.append(_def(src, m.start("name"), m["name"], words[word], m.end("name"), mods=m["mods"].split(), bases=bool(bases), annotations=_annotations(src, m.start()), line_at=m.start()))
+            after = re.sub(r"<[^<>]*>", "", re.sub(r"<[^<>]*>", "", re.sub(r"\bwhere\b.*", "", m["rest"][bases.end() :], flags=re.S))) if bases else ""
+            named = [re.split(r"[.:]", re.sub(r"\(.*", "", b).strip())[-1].strip() for b in after.split(",")]
+            defs.append(_def(src, m.start("name"), m["name"], words[word], m.end("name"), mods=m["mods"].split(), bases=bool(bases), base_names=[b for b in named if b], annotations=_annotations(src, m.start()), line_at=m.start()))
     method = re.compile(mods + r"(?P<type>(?:[^\W\d][\w.]*(?:\s*<[^;{}()]*>)?(?:\s*\[[\s,]*\])*\??\s+)?)(?P<name>[^\W\d]\w*)\s*(?:<[\w\s,]*>)?\s*\(")
     for owner in [d for d in defs if d["open"] >= 0]:
         for m in _members(src, owner, method):
@@ -245,7 +249,7 @@ def _classlike(src: Source, family: str) -> list[dict]:
                 continue
             if not re.match(r"\s*(?:throws\s[\w.,\s]+|where\s[^{;]*|:\s*(?:base|this)\s*\([^)]*\)\s*)?(?:\{|;|=>|default\b)", code[close + 1 :]):
                 continue
-            defs.append(_def(src, m.start("name"), m["name"], "method", close + 1, mods=m["mods"].split(), built=built, type=m["type"].strip(), annotations=_annotations(src, m.start()), line_at=m.start()))
+            defs.append(_def(src, m.start("name"), m["name"], "method", close + 1, mods=m["mods"].split(), built=built, base_names=[], type=m["type"].strip(), annotations=_annotations(src, m.start()), line_at=m.start()))
     for d in defs:
         owner, public = _inside(defs, d["at"]), "public" in d["mods"]
         up = []
@@ -272,6 +276,14 @@ def _classlike(src: Source, family: str) -> list[dict]:
     return defs
 
 
+def _top(src: Source, at: int) -> int:
+    """The line on which the annotations right above a head begin: a definition starts there."""
+    line, mark = src.line(at), "@" if src.family == "java" else "["
+    while line > 1 and src.text[src.starts[line - 2] : src.starts[line - 1]].strip().startswith(mark):
+        line -= 1
+    return line
+
+
 def _annotations(src: Source, at: int) -> list[str]:
     """Names of the annotations (@X, [X]) before a head, on its line or right above."""
     out, line = [], src.line(at)
@@ -353,12 +365,14 @@ def extract(path: str, text: str, test_file: bool, pack) -> dict:
             open_.pop()
         parent = next((j for j in reversed(open_) if defs[j]["open"] >= 0 and defs[j]["open"] < d["at"] <= defs[j]["close"]), None)
         qname = d.get("qname") or (f"{symbols[parent]['qname']}{sep}{d['name']}" if parent is not None and symbols[parent]["qname"] else d["name"])
-        s = {"kind": d["kind"], "name": d["name"], "qname": qname, "start_line": src.line(d["at"]), "end_line": src.line(max(d["at"], min(d["close"], len(text) - 1))), "parent_idx": parent}
+        s = {"kind": d["kind"], "name": d["name"], "qname": qname, "start_line": _top(src, d["line_at"]) if "annotations" in d else src.line(d["at"]), "end_line": src.line(max(d["at"], min(d["close"], len(text) - 1))), "parent_idx": parent}
         s |= {k: d.get(k) for k in ("exported", "is_test", "entry", "entry_cond", "decorated", "subclass")}
         s |= {k: bool(s[k]) for k in ("exported", "is_test", "decorated", "subclass")}
         symbols.append(s)
         if d["open"] >= 0 or d["kind"] == "variable":
             open_.append(i)
+    if pack.family == "csharp":
+        engine.annotate(symbols, defs, path, src.code)
     imports, aliases, spans = _imports(src)
     places = {d["at"] for d in defs if d["name"]}
     keywords, refs = _KEYWORDS[pack.family], []
