@@ -45,6 +45,11 @@ def graph_of(facts: DataFrame, packages: DataFrame, scratch: Scratch) -> dict[st
     return t
 
 
+def files_per_language(files: DataFrame) -> DataFrame:
+    """(lang, files, size) of files(lang, size)."""
+    return files.groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.sum("size").cast("long").alias("size"))
+
+
 def changed_facts(spark: SparkSession, scanned: DataFrame, before: DataFrame | None, packs: dict[str, Pack] = PACKS) -> DataFrame:
     """Facts of scanned(path, lang, kind, hash, text, ...): those of equal path and hash are taken from before, the rest extracted."""
     f = scanned if before is None else scanned.join(before.select("path", "hash"), ["path", "hash"], "left_anti")

@@ -121,6 +121,11 @@ def changed(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("path", change.alias("change")).where("change is not null")
 
 
+def missing_names(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Distinct names (name) of before that after doesn't hold; null names are left out."""
+    return before.where("name is not null").join(after.select("name"), "name", "left_anti").select("name").distinct()
+
+
 def search(symbols: DataFrame, text: str, limit: int = 50) -> DataFrame:
     """symbols(sym_id, name, file, line) that hold the text: equal, equal but for case, prefix, part; then file, line and id."""
     low, name = F.lower("name"), F.col("name")

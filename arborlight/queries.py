@@ -14,10 +14,18 @@ from pyspark.sql import functions as F
 
 from arborlight.functions import paths as P
 from arborlight.functions import scalar as S
+from arborlight.index import files_per_language
+from arborlight.operators import deadcode as C
+from arborlight.operators import dependencies as N
 from arborlight.operators import edges as E
 from arborlight.operators import findings as V
 from arborlight.operators import graph as G
+from arborlight.operators import hosts as H
+from arborlight.operators import mapping as M
 from arborlight.operators import relations as R
+from arborlight.operators import resolve as X
+from arborlight.operators import weakening as W
+from arborlight.trust import mutation_scores
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,7 +160,7 @@ def q_pack_budget(spark, sf_dir):
 
 @query(f"select dst as id, count(*) filter (where src <> dst) as inbound, count(distinct src) as callers from ({EDGES}) group by dst")
 def q_inbound(spark, sf_dir):
-    return rows(spark, sf_dir, EDGES).groupBy(F.col("dst").alias("id")).agg(F.count_if(F.col("src") != F.col("dst")).alias("inbound"), F.countDistinct("src").alias("callers"))
+    return C.inbound(rows(spark, sf_dir, EDGES).select(F.col("src").alias("src_sym"), F.col("dst").alias("dst_sym"))).withColumnRenamed("sym_id", "id")
 
 
 # ---- edges
@@ -179,8 +187,7 @@ def q_edge_build(spark, sf_dir):
 
 @query(f"select name, count(*) as definitions, count(*) <= 32 as kept from ({SYMBOLS.replace(chr(32) + '|| ' + chr(39) + '/' + chr(39) + ' || p_brand', '')}) group by name")
 def q_ambiguity_cap(spark, sf_dir):
-    s = rows(spark, sf_dir, "select p_name as name from part")
-    return s.groupBy("name").agg(F.count(F.lit(1)).alias("definitions")).withColumn("kept", F.col("definitions") <= E.AMBIGUOUS)
+    return C.name_counts(rows(spark, sf_dir, "select p_name as name from part")).withColumn("kept", F.col("definitions") <= E.AMBIGUOUS)
 
 
 @query(f"select name, count(*) as refs, count(*) filter (where file_id <> 5) as outside from ({REFS}) group by name")
@@ -211,12 +218,9 @@ def q_find_symbol(spark, sf_dir):
 @query(f"select n2.n_name as target, coalesce(c.c_name, '<module level>') as caller, c.c_mktsegment as file, c.c_custkey as line, 0.8::double as confidence, e.src from ({EDGES}) e "
        "join nation n2 on 'n' || n2.n_nationkey = e.dst left join customer c on 'c' || c.c_custkey = e.src where lower(n2.n_name) in ('nation_3', 'nation_7') order by 5 desc, file nulls first, line nulls first, src, target limit 500")
 def q_refs_enriched(spark, sf_dir):
-    sym = "select 'n' || n_nationkey as id, n_name as name, cast(null as string) as file from nation"
-    goal = rows(spark, sf_dir, sym)
-    callers = rows(spark, sf_dir, "select 'c' || c_custkey as src, c_name as caller, c_mktsegment as file, c_custkey as line from customer")
-    e = rows(spark, sf_dir, EDGES).join(goal.where(F.lower("name").isin("nation_3", "nation_7")).select(F.col("id").alias("dst"), F.col("name").alias("target")), "dst")
-    out = e.join(callers, "src", "left").select("target", F.coalesce("caller", F.lit("<module level>")).alias("caller"), "file", "line", F.round("conf", 2).alias("confidence"), "src")
-    return out.orderBy(F.desc("confidence"), "file", "line", "src", "target").limit(500)
+    sym = rows(spark, sf_dir, "select 'n' || n_nationkey as id, n_name as name, cast(null as string) as file from nation union all select 'c' || c_custkey, c_name, c_mktsegment from customer")
+    e = rows(spark, sf_dir, f"select e.*, c_custkey as line from ({EDGES}) e left join customer on 'c' || c_custkey = src")
+    return R.incoming(e, sym, ["NATION_3", "nation_7"])
 
 
 # ---- texts
@@ -249,7 +253,7 @@ def q_generated_scan(spark, sf_dir):
 
 @query("with t as (select distinct page_id, unnest(regexp_extract_all(html, '[A-Za-z_][A-Za-z0-9_]+')) as name from pages) select name, count(*) as pages from t group by name")
 def q_ident_mentions(spark, sf_dir):
-    t = rows(spark, sf_dir, "select page_id, html from pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit("[A-Za-z_][A-Za-z0-9_]+"), F.lit(0)))).alias("name"))
+    t = rows(spark, sf_dir, "select page_id, html from pages").select("page_id", F.explode(S.identifiers(F.col("html"))).alias("name"))
     return t.groupBy("name").agg(F.count(F.lit(1)).alias("pages"))
 
 
@@ -295,13 +299,15 @@ def q_imports_merged(spark, sf_dir):
 @query("select user_id, event_type, count(*) as runs, bool_and(value > 5) as caught from events group by user_id, event_type")
 def q_caught_in_every_run(spark, sf_dir):
     e = rows(spark, sf_dir, "select user_id, event_type, value > 5 as ok from events")
-    return e.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("runs"), F.bool_and("ok").alias("caught"))
+    caught = mutation_scores(e.select(F.struct("user_id", "event_type").alias("mutant"), F.col("ok").alias("caught")))
+    runs = e.groupBy(F.struct("user_id", "event_type").alias("mutant")).agg(F.count(F.lit(1)).alias("runs"))
+    return runs.join(caught, "mutant").select("mutant.*", "runs", "caught")
 
 
 @query("select distinct p_name || p_type as name from part where p_size % 2 = 0 and p_name || p_type not in (select p_name || p_type from part where p_size % 2 = 1)")
 def q_deleted_names(spark, sf_dir):
     before, after = (rows(spark, sf_dir, f"select p_name || p_type as name from part where p_size % 2 = {k}") for k in (0, 1))
-    return before.join(after, "name", "left_anti").distinct()
+    return R.missing_names(before, after)
 
 
 # ---- findings
@@ -510,12 +516,148 @@ def q_changed_files(spark, sf_dir):
 
 @query("select lang, count(*) as files, cast(sum(n_chars) as bigint) as size from documents group by lang")
 def q_files_per_language(spark, sf_dir):
-    return rows(spark, sf_dir, "select * from documents").groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("size"))
+    return files_per_language(rows(spark, sf_dir, "select lang, n_chars as size from documents"))
 
 
 @query("select doc_id, sha256('9' || lang || text) as hash from documents")
 def q_content_hash(spark, sf_dir):
-    return rows(spark, sf_dir, "select * from documents").select("doc_id", F.sha2(F.concat(F.lit("9"), "lang", "text"), 256).alias("hash"))
+    return rows(spark, sf_dir, "select * from documents").select("doc_id", S.content_hash("9", F.col("lang"), F.encode("text", "utf-8")).alias("hash"))
+
+
+# ---- code-graph operators over adapters
+SPANNED = SYMBOLS.replace("as kind from part", "as kind, p_size % 4 + 1 as start_line, p_size % 4 + 3 as end_line from part")
+
+
+@query(f"""with s as ({SPANNED}), r as ({REFS}), t as (select name, count(*) as n from r group by name)
+select s.sym_id, coalesce(t.n, 0) - (select count(*) from r where r.name = s.name and r.file_id = s.file_id and r.line between s.start_line and s.end_line) as other_refs from s left join t on t.name = s.name""")
+def q_census_own_span(spark, sf_dir):
+    return C.census(rows(spark, sf_dir, SPANNED), rows(spark, sf_dir, REFS)).select("sym_id", "other_refs")
+
+
+ECO_IMPORTS = """select distinct ((l_orderkey * 1000000 + l_partkey) * 10 + l_linenumber) * 10000 + l_suppkey as import_id, 'r' || (l_suppkey % 5) || '/d' || (l_partkey % 7) || '/f' as file, case l_linenumber % 3 when 0 then 'pypi' when 1 then 'npm' else 'crates.io' end as eco,
+  case when l_partkey % 5 = 0 then 'yaml' when l_partkey % 5 = 1 then 'Some.Pkg_' || (l_partkey % 30) else 'Pkg-' || (l_partkey % 60) end as package, l_suppkey % 7 = 0 as is_test, l_partkey % 11 = 0 as optional from lineitem"""
+ECO_DEPS = """select case p_partkey % 3 when 0 then 'pypi' when 1 then 'npm' else 'crates.io' end as eco, case when p_size % 3 = 0 then '' when p_size % 3 = 1 then 'r' || (p_size % 4) else 'r' || (p_size % 4) || '/d' || (p_partkey % 7) end as dir,
+  case when p_partkey % 4 = 0 then 'PyYAML' when p_partkey % 4 = 1 then 'python-some-pkg-' || (p_partkey % 30) when p_partkey % 4 = 2 then 'pkg_' || (p_partkey % 60) else 'Pkg-' || (p_partkey % 60) end as name,
+  case when p_size % 5 = 0 then 'main' else 'dev' end as section from part where p_brand <> 'none'"""
+ECO_ANSWERS = "select 'Pkg-' || (p_partkey % 60) as reg_name, min(p_partkey % 60) % 3 <> 0 as there from part group by 1"
+_NORM = "case eco when 'pypi' then replace(replace(lower({0}), '_', '-'), '.', '-') when 'crates.io' then replace(lower({0}), '-', '_') else {0} end"
+
+
+@query(f"""with i as (select *, {_NORM.format('package')} as want, case when eco = 'pypi' and package = 'yaml' then 'pyyaml' end as mapped from ({ECO_IMPORTS})),
+d as (select eco, dir, section = 'dev' as dev, {_NORM.format('name')} as dn from ({ECO_DEPS})), e as (select *, case when eco = 'pypi' then regexp_replace(dn, '^python-', '') end as loose from d),
+h as (select i.*, exists (select 1 from e where e.eco = i.eco and (e.dir = '' or starts_with(i.file, e.dir || '/'))) as has,
+  (select bool_and(dev) from e where e.eco = i.eco and (e.dir = '' or starts_with(i.file, e.dir || '/')) and (dn = want or dn = mapped or loose = want)) as all_dev from i),
+g as ({ECO_ANSWERS}), x as (select h.*, g.there is not null and not g.there as absent from h left join g on g.reg_name = coalesce(mapped, package)),
+y as (select *, all_dev is not null as declared, coalesce(all_dev, false) and not is_test as dev_only from x),
+z as (select *, case when absent then case when eco = 'pypi' and mapped is null then 0.7::double when eco = 'pypi' then 0.85::double else 0.9::double end
+  when eco = 'pypi' and mapped is null then 0.55::double when eco = 'pypi' then 0.7::double else 0.8::double end as base from y)
+select import_id, declared, dev_only, case when not declared then least(base, case when has then 1 else 0.45::double end, case when optional then 0.35::double else 1 end) end as confidence from z""")
+def q_deps_by_ecosystem(spark, sf_dir):
+    deps = rows(spark, sf_dir, ECO_DEPS)
+    x = N.declared(rows(spark, sf_dir, ECO_IMPORTS), deps, deps).join(rows(spark, sf_dir, ECO_ANSWERS), "reg_name", "left")
+    conf = N.import_confidence(F.coalesce(~F.col("there"), F.lit(False)), F.col("eco"), F.col("mapped"), F.col("has_manifest"), F.col("optional"))
+    return x.select("import_id", "declared", "dev_only", F.when(~F.col("declared"), conf).alias("confidence"))
+
+
+ALLOW = """[[allow]]
+symbol = "small*"
+path = "Brand#1*"
+reason = "first"
+[[allow]]
+path = "Brand#2?"
+[[allow]]
+symbol = "*ring"
+reason = "third"
+"""
+
+
+@query("select p_partkey as id, case when starts_with(p_name, 'small') and starts_with(p_brand, 'Brand#1') then 'first' when regexp_full_match(p_brand, 'Brand#2.') then 'allow-listed' when suffix(p_name, 'ring') then 'third' end as reason from part")
+def q_allow_list(spark, sf_dir):
+    return rows(spark, sf_dir, "select * from part").select(F.col("p_partkey").alias("id"), C.AllowList.parse(ALLOW).reason(F.col("p_name"), F.col("p_name"), F.col("p_brand")).alias("reason"))
+
+
+NAMES = """select p_partkey as id, case p_partkey % 3 when 0 then 'pypi' when 1 then 'npm' else 'crates.io' end as eco, case p_size % 4 when 0 then 'python-py-' when 1 then 'python-python-' when 2 then 'Py_' else '' end || replace(p_type, ' ', '_') || case p_size % 3 when 0 then '-python' when 1 then '-py-py' else '.x' end as name from part"""
+
+
+@query(f"select id, {_NORM.format('name')} as norm, regexp_replace(regexp_replace(regexp_replace(regexp_replace(name, '^(python-)+', ''), '^(py-)+', ''), '(-python)+$', ''), '(-py)+$', '') as loose from ({NAMES})")
+def q_package_norms(spark, sf_dir):
+    return rows(spark, sf_dir, NAMES).select("id", N.norm_for(F.col("eco"), F.col("name")).alias("norm"), N.relaxed(F.col("name")).alias("loose"))
+
+
+DIFF_PATHS = """select p_partkey as id, case p_size % 6 when 0 then 'src/' when 1 then 'a/Tests/' when 2 then 'src/test/' when 3 then 'x/spec/' when 4 then 'P.Tests/' else '' end || case p_partkey % 5 when 0 then 'test_' else '' end || 'f' || p_partkey
+  || case p_partkey % 4 when 0 then '_test' when 1 then '.spec' when 2 then 'Test' else '' end as stem from part"""
+
+
+@query(f"""with p as (select id, lower(stem) as s, lower(regexp_extract(stem, '([^/]*)$', 1)) as b, regexp_matches('/' || lower(stem), '/(tests|test|__tests__|spec|specs)/') as inside from ({DIFF_PATHS}))
+select id, inside or starts_with(b, 'test_') or suffix(b, '_test') as py, inside or contains(b || '.ts', '.spec.') or contains(b || '.ts', '.test.') as js, inside or suffix(b, '_test') as rs, suffix(b, '_test') as go,
+  contains(s, '/src/test/') or starts_with(s, 'src/test/') or suffix(b, 'test') as java, suffix(b, 'test') or regexp_matches('/' || s, '/([^/]*[.]tests?|tests)/') as cs from p""")
+def q_weak_test_files(spark, sf_dir):
+    of = lambda ending, rules, name: W.test_file(F.concat("stem", F.lit(ending)), rules).alias(name)
+    return rows(spark, sf_dir, DIFF_PATHS).select("id", of(".py", W.PYTHON, "py"), of(".ts", W.JAVASCRIPT, "js"), of(".rs", W.RUST, "rs"), of(".go", W.GO, "go"), of(".java", W.JAVA, "java"), of(".cs", W.CSHARP, "cs"))
+
+
+CODE_FILES = "select distinct p_partkey % 97 as file_id, 'f' || (p_partkey % 97) as path, (p_partkey % 97) % 13 = 0 as is_test from part"
+CODE_SYMBOLS = "select p_partkey as sym_id, p_partkey % 97 as file_id, p_name || p_partkey as name, p_name || p_partkey as qname, p_size as start_line, p_partkey % 11 = 0 as is_test, 'function' as kind from part"
+CODE_EDGES = f"""select case when l_suppkey % 4 = 0 then null else ps.p_partkey end as src_sym, l_orderkey % 97 as src_file, l_partkey as dst_sym, case when l_returnflag = 'R' then {D(0.4)} else {D(0.5)} end as confidence, 't0' as source
+  from lineitem left join part ps on ps.p_partkey = (l_partkey * 7 + l_suppkey) % 1000 + 1"""
+_IMPACT = f"""e as ({CODE_EDGES}), s as (select sym_id as id from ({CODE_SYMBOLS}) where sym_id % 500 = 1),
+l1 as (select src_sym as id, max(confidence) as c from e join s on s.id = e.dst_sym where src_sym is not null and src_sym not in (select id from s) group by src_sym),
+l2 as (select src_sym as id, max(c * confidence) as c from e join l1 on l1.id = e.dst_sym where src_sym is not null and src_sym not in (select id from s union select id from l1) and c * confidence >= 0.1 group by src_sym),
+r as (select id, 1 as distance, c from l1 union all select id, 2, c from l2), m as (select distinct src_file as file_id from e join (select id from s union select id from l1) x on x.id = e.dst_sym where src_sym is null)"""
+
+
+def _impact(spark, sf_dir):
+    graph = {"files": rows(spark, sf_dir, CODE_FILES), "symbols": rows(spark, sf_dir, CODE_SYMBOLS), "edges": rows(spark, sf_dir, CODE_EDGES)}
+    return M.impact(graph, graph["symbols"].where("sym_id % 500 = 1").select(F.col("sym_id").alias("id")), 2, 0.1)
+
+
+@query(f"with {_IMPACT} select id as sym_id, distance, round(c, 2) as confidence from r join ({CODE_SYMBOLS}) y on y.sym_id = r.id join ({CODE_FILES}) f on f.file_id = y.file_id")
+def q_impact_callers(spark, sf_dir):
+    return _impact(spark, sf_dir)[0].select("sym_id", "distance", "confidence")
+
+
+@query(f"""with {_IMPACT}, a as (select f.path as file, y.is_test or f.is_test as t from r join ({CODE_SYMBOLS}) y on y.sym_id = r.id join ({CODE_FILES}) f on f.file_id = y.file_id
+  union all select f.path, f.is_test from m join ({CODE_FILES}) f on f.file_id = m.file_id) select file, bool_or(t) as is_test from a group by file""")
+def q_impact_affected(spark, sf_dir):
+    return _impact(spark, sf_dir)[2]
+
+
+@query("select p_brand as path, round(sum(p_retailprice), 4) as rank from part group by p_brand")
+def q_file_ranks(spark, sf_dir):
+    return M.file_ranks(rows(spark, sf_dir, "select p_brand as path, p_retailprice as rank from part")).withColumn("rank", F.round("rank", 4))
+
+
+HOST_PARTS = "select p_partkey as id, 'C' || (p_partkey % 500) as qname, case when p_size = 1 and p_partkey % 3 = 0 then 'Engine' end as engine, case when p_partkey % 2 = 0 then 'C' || ((p_partkey * 7) % 560) else 'IFace' end as base from part"
+
+
+@query(f"""with recursive p as ({HOST_PARTS}), b as (select distinct p.qname, p.base, k.qname as target from p left join (select distinct qname from p) k on k.qname = p.base where p.base <> 'IFace'),
+proven(q) as (select distinct qname from p where engine is not null union select b.qname from proven join b on b.target = proven.q),
+lost(q) as (select distinct qname from b where target is null union select b.qname from lost join b on b.target = lost.q)
+select id, qname in (select q from proven) as live, qname not in (select q from proven) and qname in (select q from lost) as undecided from p where qname in (select q from proven) or qname in (select q from lost)""")
+def q_partial_merge(spark, sf_dir):
+    p = rows(spark, sf_dir, HOST_PARTS)
+    unity = F.concat_ws(" ", F.lit("partial"), F.concat(F.lit("base-unity:"), "engine"), F.concat(F.lit("bases:"), "base"))
+    none = F.lit(None).cast("int")
+    classes = p.select((F.col("id") * 2).alias("sym_id"), F.col("id").alias("file_id"), F.lit(0).alias("idx"), none.alias("parent_idx"), F.lit("class").alias("kind"), F.col("qname").alias("name"), "qname", unity.alias("unity"))
+    calls = p.select((F.col("id") * 2 + 1).alias("sym_id"), F.col("id").alias("file_id"), F.lit(1).alias("idx"), F.lit(0).alias("parent_idx"), F.lit("method").alias("kind"), F.lit("Update").alias("name"), F.concat("qname", F.lit(".Update")).alias("qname"), F.lit("msg").alias("unity"))
+    graph = {"symbols": classes.unionByName(calls), "files": p.select(F.col("id").alias("file_id"), F.concat(F.lit("Assets/f"), F.col("id").cast("string")).alias("path"))}
+    out = H.merged_hosts(graph).where("sym_id % 2 = 1")
+    return out.select(F.expr("sym_id div 2").alias("id"), "live", F.col("unresolved_base").isNotNull().alias("undecided"))
+
+
+PY_FILES = "select 'src/p' || p_size || '/m' || p_partkey || case when p_partkey % 9 = 0 then '.pyi' else '.py' end as path, 'python' as lang from part"
+PY_IMPORTS = """select o_orderkey as import_id, 'src/p' || (o_custkey % 50 + 1) || '/z.py' as file, 'python' as lang, case o_orderkey % 4 when 0 then 'p' || (o_custkey % 50 + 1) || '.m' || (o_orderkey % 2000 + 1) when 1 then '.m' || (o_orderkey % 2000 + 1) when 2 then 'json.decoder' else 'ext' || (o_orderkey % 9) || '.sub' end as module,
+  cast(null as string) as names, cast(o_custkey as bigint) as line, 'import' as kind from orders"""
+
+
+@query(f"""with f as (select path, regexp_replace(path, '[.]pyi?$', '') as stem from ({PY_FILES})), i as ({PY_IMPORTS}), m as (select i.*, case when module like '.m%' then (select path from f where stem = regexp_replace(i.file, '/z.py$', '') || '/' || substring(i.module, 2))
+  when module like 'p%' then (select min(path) from f where suffix('/' || stem, '/' || replace(i.module, '.', '/'))) end as hit from i)
+select import_id, case when hit is not null then 'local' when module like '.%' then 'unresolved' when module = 'json.decoder' then 'stdlib' else 'external' end as class, coalesce(hit, '') as resolved,
+  case when hit is null and module not like '.%' and module <> 'json.decoder' then regexp_extract(module, '^[^.]*', 0) end as package from m""")
+def q_import_resolution(spark, sf_dir):
+    i = rows(spark, sf_dir, PY_IMPORTS).withColumn("names", F.array().cast("array<string>"))
+    out = X.resolve_imports(i, rows(spark, sf_dir, PY_FILES), spark.createDataFrame([], "eco string, name string"))
+    return out.select("import_id", "class", F.array_join("resolved_files", ",").alias("resolved"), "package")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlight.functions.paths import language_of, text_kind
+from arborlight.functions.scalar import content_hash
 from arborlight.operators.relations import ancestors
 
 # Folders that hold no source of the workspace's own. Hidden folders are left out as well.
@@ -68,6 +69,6 @@ def scan_workspace(spark: SparkSession, root: str) -> DataFrame:
     large = F.col("length") > MOST_SOURCE
     return f.select(
         "path", "lang", F.when(F.col("lang").isNotNull(), "source").otherwise(F.col("mention")).alias("kind"), F.col("length").alias("size"),
-        F.sha2(F.concat(F.encode(F.lit(VERSION), "utf-8"), F.encode(F.coalesce("lang", F.lit("")), "utf-8"), F.when(large, F.encode(F.concat_ws(" ", "length", F.col("modificationTime").cast("string")), "utf-8")).otherwise(F.col("content"))), 256).alias("hash"),
+        content_hash(VERSION, F.col("lang"), F.when(large, F.encode(F.concat_ws(" ", "length", F.col("modificationTime").cast("string")), "utf-8")).otherwise(F.col("content"))).alias("hash"),
         F.when(large, "error: skipped, too large").otherwise("ok").alias("status"), F.when(~large, F.decode("content", "utf-8")).alias("text"),
     )
