@@ -26,7 +26,9 @@ def build_edges(refs: DataFrame, symbols: DataFrame, imports: DataFrame, cap: in
     rest = r.join(same.select("ref_id").distinct(), "ref_id", "left_anti")
     named = imports.where("name is not null").select("file_id", "name").distinct().withColumn("named", F.lit(True))
     targets = imports.select("file_id", F.col("target_id").alias("dst_file")).distinct()
-    imported = rest.join(targets, "file_id").join(s, ["name", "dst_file"]).where(allowed).join(named, ["file_id", "name"], "left")
+    # what a file sees through its imports: a file has fewer symbols than references, so these are joined first
+    visible = targets.join(s, "dst_file").select("file_id", "name", "dst_sym", "method")
+    imported = rest.join(visible, ["file_id", "name"]).where(allowed).join(named, ["file_id", "name"], "left")
     imported = imported.select(*r.columns, "dst_sym", F.when(F.col("named"), 0.85).otherwise(0.7).alias("base"))
     rest = rest.join(imported.select("ref_id").distinct(), "ref_id", "left_anti").where(F.col("n") <= cap)
     other = rest.join(s, "name").where(allowed).select(*r.columns, "dst_sym", F.when(F.col("n") == 1, 0.5).otherwise(0.4).alias("base"))

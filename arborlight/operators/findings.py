@@ -21,11 +21,16 @@ def dead_score(flags: dict[str, Column], test_only: Column) -> Column:
     return rounded(F.when(test_only, F.least(c, F.lit(0.85))).otherwise(c))
 
 
-def new_findings(current: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Findings (fp, seq, ...) beyond the baseline's (fp, count): of each fingerprint the first ``count`` are known."""
-    nth = F.row_number().over(Window.partitionBy("fp").orderBy("seq"))
-    known = baseline.select("fp", F.col("count").alias("known"))
-    return current.withColumn("nth", nth).join(known, "fp", "left").where(F.col("nth") > F.coalesce("known", F.lit(0))).drop("nth", "known")
+def new_findings(current: DataFrame, baseline: DataFrame, parts: int = 64) -> DataFrame:
+    """Findings (fp, seq, ...) beyond the baseline's (fp, count): of each fingerprint the first ``count`` by seq, which tells rows apart, are known.
+
+    Only rows whose fingerprint is in the baseline are ranked, in parts first: of each part the first ``count`` can be known, so one
+    fingerprint with a large share of all rows is ranked by many tasks, and what is left by one.
+    """
+    met = current.select("fp", "seq").join(baseline.select("fp", "count"), "fp").withColumn("_part", F.pmod(F.xxhash64("seq"), F.lit(parts)))
+    first = met.withColumn("_n", F.row_number().over(Window.partitionBy("fp", "_part").orderBy("seq"))).where("_n <= count")
+    known = first.withColumn("_n", F.row_number().over(Window.partitionBy("fp").orderBy("seq"))).where("_n <= count").select("fp", "seq")
+    return current.join(known, ["fp", "seq"], "left_anti").select(current.columns)
 
 
 def fixed_findings(current: DataFrame, baseline: DataFrame) -> DataFrame:
