@@ -116,19 +116,21 @@ class Vocabulary:
         return self._merge_long(parts) if len(parts) > 64 else self._merge_short(parts)
 
     def _merge_short(self, parts: list[int]) -> list[int]:
-        get, size, none = self.rank.get, self.shift, 1 << 30
+        get, size, merged, none = self.rank.get, self.shift, self.merged, 1 << 30
         ranks = [get(a * size + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-        while ranks:
+        n = len(ranks)
+        while n:
             r = min(ranks)
             if r == none:
                 break
             i = ranks.index(r)
-            parts[i : i + 2] = [self.merged[r]]
-            del ranks[i]
+            m = parts[i] = merged[r]
+            del parts[i + 1], ranks[i]
+            n -= 1
             if i:
-                ranks[i - 1] = get(parts[i - 1] * size + parts[i], none)
-            if i < len(ranks):
-                ranks[i] = get(parts[i] * size + parts[i + 1], none)
+                ranks[i - 1] = get(parts[i - 1] * size + m, none)
+            if i < n:
+                ranks[i] = get(m * size + parts[i + 1], none)
         return parts
 
     def _merge_long(self, parts: list[int]) -> list[int]:
