@@ -6,6 +6,7 @@ Exit codes: 0 nothing found that trips, 1 tripped, 2 an error.
 from __future__ import annotations
 
 import argparse
+import hashlib
 import os
 import sys
 
@@ -86,7 +87,7 @@ def _allow(root: str, extra: str | None) -> AllowList:
 def _graph(spark: SparkSession, args) -> dict[str, DataFrame]:
     store = Store(spark, args.store or os.path.join(os.path.abspath(args.path), ".arborlight", "store"))
     packages = manifests.scan_packages(spark, args.path)
-    stamp = str(hash(tuple(sorted(tuple(r) for r in packages.collect()))))
+    stamp = hashlib.sha256(repr(sorted(tuple(map(str, r)) for r in packages.collect())).encode()).hexdigest()
     return store.update(workspace.scan_workspace(spark, os.path.abspath(args.path)), packages, stamp=stamp)
 
 
