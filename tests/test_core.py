@@ -115,6 +115,13 @@ def test_imports_of_distributions_with_other_names(spark):
     assert {r.id: r.declared for r in R.declared_imports(i, d).collect()} == {1: True, 2: False, 3: False}
 
 
+def test_imports_that_share_an_id_are_looked_up_apart(spark):
+    i = spark.createDataFrame([(1, "a/b.py", "pypi", "one"), (1, "a/b.py", "pypi", "two"), (1, "c/d.py", "pypi", "three"), (1, "a/b.py", "pypi", None), (2, None, "pypi", "one")], "id int, file string, eco string, package string")
+    d = spark.createDataFrame([("pypi", "", "one", "main"), ("pypi", "a", "two", "dev")], "eco string, dir string, name string, section string")
+    got = {(r.id, r.file, r.package, r.declared, r.dev_only) for r in R.declared_imports(i, d).collect()}
+    assert got == {(1, "a/b.py", "one", True, False), (1, "a/b.py", "two", True, True), (1, "c/d.py", "three", False, False), (1, "a/b.py", None, False, False), (2, None, "one", True, False)}
+
+
 def test_manifests(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "requirements.txt").write_text("requests>=2 # http\n-r other.txt\ngit+https://x/y\nPyYAML[x] @ https://z\n")
