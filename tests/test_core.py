@@ -175,6 +175,32 @@ def test_whole_declarations_are_read(spark):
     assert {r.rule for r in got["deps_registry_whole"]} == {"nonexistent-package", "undeclared-dependency", "dev-dependency-in-source"}
 
 
+def test_overlaps_are_written_out_after_the_join(spark):
+    a = spark.createDataFrame([("k", i, lo, lo + n) for i, (lo, n) in enumerate([(10, 5), (0, 300), (64, 0)] * 40)], "k string, range_id int, lo long, hi long")
+    b = spark.createDataFrame([("k", i, lo, lo + n) for i, (lo, n) in enumerate([(12, 60), (100, 900)] * 50)] + [("k", None, 12, 13)], "k string, span_id int, start long, end long")
+    out = R.overlapping(a, b, "k")
+    want = a.join(b, "k").where("lo <= end and hi >= start").select("k", "range_id", "span_id")
+    key = lambda d: sorted(map(str, d.collect()))
+    assert key(out) == key(want) and want.count() > 8000
+    assert _most_joined(out) < 20
+
+
+def _most_joined(df) -> int:
+    df.collect()
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if p.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(p.executedPlan())
+        elif "QueryStage" in p.nodeName():
+            todo.append(p.plan())
+        else:
+            if "Join" in p.nodeName():
+                found = max(found, p.metrics().get("numOutputRows").get().value())
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+    return found
+
+
 def test_entry_points_name_every_query():
     import __spark_entry__
 
