@@ -175,6 +175,19 @@ def test_whole_declarations_are_read(spark):
     assert {r.rule for r in got["deps_registry_whole"]} == {"nonexistent-package", "undeclared-dependency", "dev-dependency-in-source"}
 
 
+def test_innermost_pairs_no_point_with_its_intervals(spark):
+    rng = random.Random(8)
+    spans = [(rng.choice("ab"), i, lo, lo + rng.choice([0, 1, 2, 3, 7, 8, 30, 64, 500, 1 << 33])) for i in range(150) for lo in [rng.randrange(-80, 700)]] + [("a", 200, 9, 3), (None, 201, 0, 900), ("b", 202, None, 5)]
+    points = [(rng.choice("abc"), i, rng.randrange(-100, 800)) for i in range(200)] + [(None, 300, 5), ("a", 301, None), ("a", 302, 1 << 32)]
+    got = R.innermost(spark.createDataFrame(points, "k string, point_id int, at long"), spark.createDataFrame(spans, "k string, span_id int, lo long, hi long"), "k")
+    holds = lambda k, at: [(lo, -hi, i) for q, i, lo, hi in spans if None not in (k, q, at, lo) and k == q and lo <= at <= hi]
+    assert {r.point_id: r.span_id for r in got.collect()} == {i: max(holds(k, at), default=(0, 0, None))[2] for k, i, at in points}
+    one = spark.range(3000).selectExpr("'k' as k", "id as point_id", "5L as at")
+    many = spark.range(3000).selectExpr("'k' as k", "id as span_id", "id % 5 as lo", "6 + id % 7 as hi")
+    out = R.innermost(one, many, "k")
+    assert {r.span_id for r in out.collect()} == {2989} and _most_joined(out) <= 3000
+
+
 def test_overlaps_are_written_out_after_the_join(spark):
     a = spark.createDataFrame([("k", i, lo, lo + n) for i, (lo, n) in enumerate([(10, 5), (0, 300), (64, 0)] * 40)], "k string, range_id int, lo long, hi long")
     b = spark.createDataFrame([("k", i, lo, lo + n) for i, (lo, n) in enumerate([(12, 60), (100, 900)] * 50)] + [("k", None, 12, 13)], "k string, span_id int, start long, end long")
