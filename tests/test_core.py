@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from arborlight import queries as Q
 from arborlight.functions import scalar as S
+from arborlight.operators import dependencies as N
 from arborlight.operators import findings as V
 from arborlight.operators import graph as G
 from arborlight.operators import relations as R
@@ -122,6 +123,13 @@ def test_imports_that_share_an_id_are_looked_up_apart(spark):
     assert got == {(1, "a/b.py", "one", True, False), (1, "a/b.py", "two", True, True), (1, "c/d.py", "three", False, False), (1, "a/b.py", None, False, False), (2, None, "one", True, False)}
 
 
+def test_declarations_of_ecosystems_do_not_go_by_ids(spark):
+    i = spark.createDataFrame([(1, "a/b.py", "pypi", "yaml", False), (1, "c/d.js", "npm", "yaml", False), (1, "a/b.py", "pypi", "two", True), (2, None, "npm", "one", False)], "import_id int, file string, eco string, package string, is_test boolean")
+    d = spark.createDataFrame([("pypi", "a", "PyYAML", "dev"), ("npm", "", "one", "main")], "eco string, dir string, name string, section string")
+    got = {(r.package, r.eco, r.declared, r.dev_only, r.has_manifest) for r in N.declared(i, d, d).collect()}
+    assert got == {("yaml", "pypi", True, True, True), ("yaml", "npm", False, False, True), ("two", "pypi", False, False, True), ("one", "npm", True, False, True)}
+
+
 def test_manifests(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "requirements.txt").write_text("requests>=2 # http\n-r other.txt\ngit+https://x/y\nPyYAML[x] @ https://z\n")
