@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborlight.plans.durable import Scratch
+from arborlight.plans.durable import Scratch, buckets
 
 
 def closure_steps(edges: DataFrame, parents: DataFrame | None = None, conditional: DataFrame | None = None) -> DataFrame:
@@ -62,10 +62,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 50, damping: floa
     if focus is not None and (k := focus.join(nodes, "id", "left_semi").distinct().count()):
         marked = focus.select("id").distinct().withColumn("in", F.lit(1.0))
         tele = tele.join(marked, "id", "left").select("id", (F.col("tele") / 2 + F.coalesce("in", F.lit(0.0)) / (2 * k)).alias("tele"))
-    e = edges.where("src <> dst")
-    out = e.groupBy("src").agg(F.sum("weight").alias("total"))
-    e = scratch.save(e.join(out, "src").groupBy("src", "dst").agg((F.sum("weight") / F.first("total")).alias("share")))
-    state = scratch.save(tele.join(out.select(F.col("src").alias("id"), F.lit(False).alias("dangling")), "id", "left").select("id", "tele", F.coalesce("dangling", F.lit(True)).alias("dangling"), F.col("tele").alias("rank")))
+    # dealt by src once; groups, shares and every round's join then find the edges where they lie
+    e = edges.where("src <> dst").select("src", "dst", "weight").repartition(buckets(spark), "src").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    e = scratch.save_by(e.select("src", "dst", (F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).alias("share")), "src")
+    out = e.select(F.col("src").alias("id")).distinct().withColumn("dangling", F.lit(False))
+    state = scratch.save(tele.join(out, "id", "left").select("id", "tele", F.coalesce("dangling", F.lit(True)).alias("dangling"), F.col("tele").alias("rank")))
     for _ in range(rounds):
         lost = state.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         sent = e.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))

@@ -42,6 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 class Scratch:
     """Tables that one query writes; each may be dropped as soon as nothing reads it any more."""
 
@@ -72,8 +76,19 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def save_by(self, df: DataFrame, key: str) -> DataFrame:
+        """Write df, which must be dealt by repartition(buckets(spark), key), in these buckets: joins and groups on the key don't deal it anew."""
+        self.count += 1
+        path, name = f"{self.root}/{self.count}", f"arborlight_{uuid.uuid4().hex}"
+        df.write.format("parquet").bucketBy(buckets(self.spark), key).option("path", path).saveAsTable(name)
+        out = self.spark.table(name)
+        out._scratch_path, out._scratch_table = path, name
+        return out
+
     def drop(self, df: DataFrame) -> None:
-        """Delete a table that save() returned."""
+        """Delete a table that save() or save_by() returned."""
+        if getattr(df, "_scratch_table", None):
+            self.spark.sql(f"drop table if exists {df._scratch_table}")
         p, fs = self._path(df._scratch_path)
         fs.delete(p, True)
 

@@ -206,6 +206,39 @@ def test_overlaps_are_written_out_after_the_join(spark):
     assert _most_joined(out) < 20
 
 
+@pytest.fixture
+def deals(spark, monkeypatch):
+    """For each written table: the names of the nodes of its plan that deal out rows of more than two columns or read input."""
+    from arborlight.plans import durable
+
+    seen = []
+    for name in ("save", "save_by"):
+        def kept(self, df, *key, write=getattr(durable.Scratch, name)):
+            plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            seen.append((plan.count("Scan ExistingRDD"), len(re.findall(r"(?m)^.*?Exchange hashpartitioning\(src#.*$", plan)), "Bucketed: true" in plan))
+            return write(self, df, *key)
+        monkeypatch.setattr(durable.Scratch, name, kept)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled") if spark.conf.get(k, None) is not None}
+    for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(k, "-1")
+    yield seen
+    for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(k, before[k]) if k in before else spark.conf.unset(k)
+
+
+def _graph(spark):
+    rng = random.Random(5)
+    e = [(f"v{rng.randrange(30)}", f"v{rng.randrange(30)}", rng.choice([0.3, 0.6])) for _ in range(90)]
+    return spark.createDataFrame(e, "src string, dst string, conf double")
+
+
+def test_pagerank_deals_its_edges_once(spark, deals):
+    e = _graph(spark)
+    n = spark.range(30).selectExpr("'v' || id as id")
+    assert abs(sum(r.rank for r in G.pagerank(n, e.withColumnRenamed("conf", "weight"), rounds=3, tolerance=None).collect()) - 1) < 1e-9
+    assert sum(d[1] for d in deals) <= 4 and sum(d[2] for d in deals) >= 3
+
+
 def test_edges_are_dealt_out_by_class(spark):
     from arborlight.operators.edges import build_edges
 
