@@ -88,7 +88,7 @@ def best_paths(edges: DataFrame, seeds: DataFrame, depth: int = 4, least: float
     Paths, and edges, under ``least`` are dropped; seeds themselves are left out.
     """
     scratch = Scratch(edges.sparkSession, "impact")
-    back = edges.where(F.col("conf") >= least).groupBy(F.col("dst").alias("id"), F.col("src").alias("caller")).agg(F.max("conf").alias("conf"))
+    back = scratch.save(edges.where(F.col("conf") >= least).groupBy(F.col("dst").alias("id"), F.col("src").alias("caller")).agg(F.max("conf").alias("conf")))  # every level reads it
     level = scratch.save(seeds.select("id").distinct().withColumns({"distance": F.lit(0), "confidence": F.lit(1.0)}))
     parts = [level]
     for d in range(1, depth + 1):

@@ -239,6 +239,11 @@ def test_pagerank_deals_its_edges_once(spark, deals):
     assert sum(d[1] for d in deals) <= 4 and sum(d[2] for d in deals) >= 3
 
 
+def test_best_paths_read_their_edges_once(spark, deals):
+    G.best_paths(_graph(spark), spark.createDataFrame([("v0",)], "id string").repartition(1).localCheckpoint(), 3).count()
+    assert len(deals) >= 4 and all(d[0] == 0 for d in deals[2:])
+
+
 def test_edges_are_dealt_out_by_class(spark):
     from arborlight.operators.edges import build_edges
 
