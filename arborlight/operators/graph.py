@@ -14,7 +14,7 @@ from arborlight.plans.durable import Scratch, buckets
 
 
 def closure_steps(edges: DataFrame, parents: DataFrame | None = None, conditional: DataFrame | None = None) -> DataFrame:
-    """(id, next): what marking a vertex marks, written once and shared by closures.
+    """(id, next): what marking a vertex marks, dealt and written once in buckets of id and shared by closures, whose rounds deal only what they found.
 
     edges (src, dst); parents(id, parent): marking a vertex marks its ancestors; conditional(id, needs): such a vertex is a root
     once ``needs`` is reached.
@@ -24,7 +24,8 @@ def closure_steps(edges: DataFrame, parents: DataFrame | None = None, conditiona
         step = step.unionByName(parents.where("parent is not null").select("id", F.col("parent").alias("next")))
     if conditional is not None:
         step = step.unionByName(conditional.select(F.col("needs").alias("id"), F.col("id").alias("next")))
-    return Scratch(edges.sparkSession, "steps").save(step.where("id is not null and next is not null").distinct())
+    step = step.where("id is not null and next is not null").repartition(buckets(edges.sparkSession), "id").distinct()
+    return Scratch(edges.sparkSession, "steps").save_by(step, "id")
 
 
 def reach(edges: DataFrame | None, roots: DataFrame, parents: DataFrame | None = None, conditional: DataFrame | None = None, steps: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:

@@ -239,6 +239,17 @@ def test_pagerank_deals_its_edges_once(spark, deals):
     assert sum(d[1] for d in deals) <= 4 and sum(d[2] for d in deals) >= 3
 
 
+def test_closures_deal_their_steps_once(spark, deals):
+    e = _graph(spark)
+    seen, new = {"v0"}, {"v0"}
+    pairs = [(r.src, r.dst) for r in e.collect()]
+    while new:
+        new = {t for s, t in pairs if s in new} - seen
+        seen |= new
+    assert {r.id for r in G.reach(e, spark.createDataFrame([("v0",)], "id string")).collect()} == seen
+    assert all(d[2] for d in deals[2:]) and len(deals) > 3
+
+
 def test_best_paths_read_their_edges_once(spark, deals):
     G.best_paths(_graph(spark), spark.createDataFrame([("v0",)], "id string").repartition(1).localCheckpoint(), 3).count()
     assert len(deals) >= 4 and all(d[0] == 0 for d in deals[2:])
